@@ -24,3 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, so that no other column's name can clash; a null text counts as empty."""
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+#: Rows up to which a table of a few numbers a row is broadcast; beyond, Spark joins by a shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A materialised table of narrow rows, with a broadcast hint only if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs whose id is not among ids (a materialised one-column table); null ids stay."""
+    ids = ids.toDF("_gone").distinct()
+    return docs.join(small_side(ids), docs[id_col] == ids["_gone"], "left_anti")
+
+
+def let(value, use):
+    """use(value) with value worked out once: a lambda over a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textmend.llm import bpe, simhash
+from textmend.llm import bpe, pii, quality_rules, simhash, tiling
 from textmend.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: In use, a secret of the user's; the queries need one that stays.
+PII_SECRET = "surrogates"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.replace(docs.select("doc_id", "text"), PII_SECRET)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +33,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("distance")
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_decontamination": op2_decontamination, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
