@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmend.llm import bpe, pii, quality_rules, simhash, tiling
+from textmend.llm import bpe, chat, html_text, licenses, pii, pu_quality, quality_rules, secrets, simhash, tiling
 from textmend.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    trusted = labels.where((F.col("quality") == 1) & ~pu_quality.held_out()).select("doc_id")
+    scored = pu_quality.score(table(spark, sf_dir, "documents"), trusted)
+    return scored.select("doc_id", pu_quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256"), secrets.spelled(F.col("all")).alias("spans"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,9 +46,30 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    made = chat.format_conversations(turns.unionByName(own))
+    read = made.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_targets(F.col("formatted"), F.col("examples")), "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("distance")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_decontamination": op2_decontamination, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_quality_rules": op9_quality_rules}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_pii, op2_decontamination, op3_quality_classifier, op4_secrets, op5_simhash, op6_bpe, op7_chat, op8_licenses, op9_quality_rules, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
