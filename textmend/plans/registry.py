@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from textmend.plans import corpus, repair
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**corpus.QUERIES, **repair.QUERIES}
+ORACLE_SQL = {**corpus.ORACLE_SQL, **repair.ORACLE_SQL}
