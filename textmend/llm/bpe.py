@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textmend.llm.common import id_and_text
 
 #: Pieces a worker remembers before it starts afresh: bounds memory, never changes a result.
-MEMORY = 150_000
+MEMORY = 300_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -42,11 +43,17 @@ class Vocabulary:
         self.right: dict[int, int] = {}
         self.pair: dict[tuple[int, int], int] = {}
         self.usable = {t: r for t, r in ranks.items() if len(t) == 1}
+        self.size_of = {r: len(t) for t, r in ranks.items()}
+        self.known: dict[int, bool] = {}  # pairs that beside() was asked about
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and (halves := self._halves(token, rank)):
                 a, b = ranks[halves[0]], ranks[halves[1]]
                 self.left[rank], self.right[rank], self.pair[a, b] = a, b, rank
                 self.usable[token] = rank
+        self.ending = ahocorasick.Automaton()
+        for token, rank in self.usable.items():
+            self.ending.add_word(token.decode("latin-1"), (len(token), rank))
+        self.ending.make_automaton()
 
     def _halves(self, token: bytes, rank: int) -> tuple[bytes, bytes] | None:
         """The two parts left when only earlier merges are made; None if merges cannot build the token."""
@@ -79,49 +86,65 @@ class Vocabulary:
                 return True
 
 
+def extend(v: Vocabulary, data: str, last: list[int], end: int) -> None:
+    """Put the last tokens of all prefixes up to data[:end] behind those of shorter ones (data: a character a byte).
+    The automaton tells the tokens that end at a place, longest first; only one of them can be right."""
+    begin, known = len(last), v.known
+    last += [-1] * (end + 1 - begin)
+    for at, (size, token) in v.ending.iter(data, max(0, begin - v.longest), end):
+        at += 1
+        if at < begin or last[at] >= 0:
+            continue
+        if size < at:
+            pair = last[at - size] << 32 | token
+            ok = known.get(pair)
+            if ok is None:
+                if len(known) > MEMORY:
+                    known.clear()
+                ok = known[pair] = v.beside(last[at - size], token)
+            if not ok:
+                continue
+        last[at] = token
+    if -1 in last[begin:]:
+        raise ValueError("a byte is missing from the vocabulary")
+
+
 class PrefixEncoding:
     """The encoding of a growing or changing byte string: one last token per prefix."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, bytearray(), [-1]
+        self.vocabulary, self.data, self.last = vocabulary, "", [-2]
         self.append(data)
 
-    def _ending(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        for size in range(min(end, v.longest), 0, -1):
-            token = v.usable.get(bytes(data[end - size : end]))
-            if token is not None and (size == end or v.beside(last[end - size], token)):
-                return token
-        raise ValueError("a byte is missing from the vocabulary")
-
     def append(self, data: bytes) -> None:
-        for byte in data:
-            self.data.append(byte)
-            self.last.append(self._ending(len(self.data)))
+        self.data += data.decode("latin-1")
+        extend(self.vocabulary, self.data, self.last, len(self.data))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put new bytes for [start, stop). Returns how many prefixes were worked out again: those up to the point
         where, for as many bytes as the longest token has, old and new prefixes end alike."""
-        tail, old = bytes(self.data[stop:]), self.last[stop + 1 :]
-        del self.data[start:], self.last[start + 1 :]
-        self.append(new)
-        done = same = 0
-        for i, byte in enumerate(tail):
-            self.data.append(byte)
-            self.last.append(self._ending(len(self.data)))
-            done, same = done + 1, same + 1 if self.last[-1] == old[i] else 0
-            if same >= self.vocabulary.longest:
-                self.data += tail[i + 1 :]
-                self.last += old[i + 1 :]
+        old, step = self.last[stop + 1 :], self.vocabulary.longest
+        self.data = self.data[:start] + new.decode("latin-1") + self.data[stop:]
+        del self.last[start + 1 :]
+        end = start + len(new)
+        extend(self.vocabulary, self.data, self.last, end)
+        while end < len(self.data):
+            end = min(end + step, len(self.data))
+            extend(self.vocabulary, self.data, self.last, end)
+            done = end - start - len(new)
+            if done >= step and self.last[-step:] == old[done - step : done]:
+                self.last += old[done:]
                 break
-        return len(new) + done
+        return end - start
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
+        out, end, size_of = [], len(self.data), self.vocabulary.size_of
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.bytes_of[self.last[end]])
-        return out[::-1]
+            token = self.last[end]
+            out.append(token)
+            end -= size_of[token]
+        out.reverse()
+        return out
 
 
 def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
