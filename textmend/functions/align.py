@@ -1,0 +1,112 @@
+"""Alignment of two texts as small functions over one row, for columns through ``udf_of``. Quadratic in a row's length,
+so they work on lines or tokens, not on documents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+def damerau_script(a: str, b: str) -> list[tuple[str, int, str]]:
+    """Edits (op, place in a, character) that turn a into b, with exchanges of neighbours; at ties insertions come first,
+    then deletions, replacements, exchanges."""
+    n, m = len(a), len(b)
+    d = [[max(i, j) if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            d[i][j] = min(d[i][j - 1] + 1, d[i - 1][j] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1] and d[i][j] == d[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+        elif j and d[i][j] == d[i][j - 1] + 1:
+            j -= 1
+            out.append(("INSERT", i, b[j]))
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+            out.append(("DELETE", i, a[i]))
+        elif i and j and d[i][j] == d[i - 1][j - 1] + 1:
+            i, j = i - 1, j - 1
+            out.append(("REPLACE", i, b[j]))
+        else:
+            i, j = i - 2, j - 2
+            out.append(("TRANSPOSE", i, b[j : j + 2]))
+    return out[::-1]
+
+
+def common_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; at ties the place in b moves first."""
+    n, m = len(a), len(b)
+    d = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            d[i + 1][j + 1] = d[i][j] + 1 if a[i] == b[j] else max(d[i][j + 1], d[i + 1][j])
+    out, i, j = [], n, m
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif d[i][j - 1] == d[i][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def token_labels(correct: str, corrupt: str) -> list[str]:
+    """For each token of the correct text: NONE, TOKENIZATION_ERROR, OCR_ERROR or MIXED, by the edits that touch it."""
+    tokens = correct.split(" ")
+    begins, at = [], 0
+    for t in tokens:
+        begins.append(at)
+        at += len(t) + 1
+    spaces, letters = set(), set()
+    for op, place, ch in damerau_script(correct, corrupt):
+        old = correct[place : place + 1] if op != "INSERT" else ""
+        k = max(i for i, b in enumerate(begins) if b <= place)
+        if " " in (ch if op == "INSERT" else old):
+            spaces |= {k, min(k + 1, len(tokens) - 1)} if old == " " else {k}
+        else:
+            letters.add(k)
+    for i, _ in common_pairs(tokens, corrupt.split(" ")):
+        spaces.discard(i)
+        letters.discard(i)
+    return ["MIXED" if k in spaces and k in letters else "TOKENIZATION_ERROR" if k in spaces else "OCR_ERROR" if k in letters else "NONE" for k in range(len(tokens))]
+
+
+def deduced_spacing(corrupt: str, corrected: str) -> str:
+    """The corrupt text with the space edits, and only those, that lead to a corrected one."""
+    out, add, drop = [], {}, set()
+    for op, place, ch in damerau_script(corrupt, corrected):
+        if op == "INSERT" and ch == " ":
+            add[place] = " "
+        elif op == "DELETE" and ch == " ":
+            drop.add(place)
+    for k in range(len(corrupt) + 1):
+        out.append(add.get(k, "") + ("" if k in drop else corrupt[k : k + 1]))
+    return "".join(out)
+
+
+def predicted_places(n: int, edits: list[tuple[int, str]]) -> list[int]:
+    """For each place of a corrupt text of n characters, and its end, the place in the repaired one."""
+    added, gone = {p for p, kind in edits if kind == "DELETION"}, {p for p, kind in edits if kind == "INSERTION"}
+    out, shift = [], 0
+    for p in range(n + 1):
+        shift += p in added
+        out.append(max(0, p + shift))
+        shift -= p in gone
+    return out
+
+
+def udf_of(function: Callable, returns: str):
+    """A function of row values as a column function over Arrow batches; any null argument gives null."""
+
+    @F.pandas_udf(returns)
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(v is None for v in row) else function(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    return run

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmend.functions.rng import uniform
+from textmend.functions.rng import at_place, row_seed
 
 
 def let(value: Column, use) -> Column:
@@ -48,27 +48,31 @@ def corruptions(true: Column, corrupt: Column) -> Column:
     return F.aggregate(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), begin, add, lambda a: a["out"])
 
 
-def error_counts(true: Column, corrupt: Column, predicted: Column) -> dict[str, Column]:
-    """tp, fp and fn of the predicted repairs, by type, each a sum over gaps. All three: gaps."""
+def error_counts(true: Column, corrupt: Column, predicted: Column) -> Column:
+    """Struct of tp, fp and fn of the predicted repairs, by type, each a sum over gaps. All three: gaps."""
     three = F.zip_with(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), predicted, lambda g, p: F.struct(g["o"].alias("o"), g["c"].alias("c"), p.alias("p")))
-    total = lambda f: F.aggregate(three, F.lit(0), lambda a, g: a + f(g["o"], g["c"], g["p"]).cast("int")).cast("long")
     zero = F.lit(0)
-    return {
-        "tp_del": total(lambda o, c, p: (o > c) & (p > c)), "fp_del": total(lambda o, c, p: (o <= c) & (p > c)), "fn_del": total(lambda o, c, p: (o > c) & (p <= c)),
-        "tp_ins": total(lambda o, c, p: F.greatest(zero, c - F.greatest(o, p))), "fp_ins": total(lambda o, c, p: F.greatest(zero, F.least(o, c) - p)), "fn_ins": total(lambda o, c, p: F.greatest(zero, F.least(p, c) - o)),
+    parts = {
+        "tp_del": lambda o, c, p: (o > c) & (p > c), "fp_del": lambda o, c, p: (o <= c) & (p > c), "fn_del": lambda o, c, p: (o > c) & (p <= c),
+        "tp_ins": lambda o, c, p: F.greatest(zero, c - F.greatest(o, p)), "fp_ins": lambda o, c, p: F.greatest(zero, F.least(o, c) - p), "fn_ins": lambda o, c, p: F.greatest(zero, F.least(p, c) - o),
     }
+    total = lambda g, f: F.aggregate(g, F.lit(0), lambda a, x: a + f(x["o"], x["c"], x["p"]).cast("int")).cast("long")
+    odd = F.filter(three, lambda g: (g["o"] != g["c"]) | (g["p"] != g["c"]))  # the other gaps count for nothing
+    return let(odd, lambda g: F.struct(*[total(g, f).alias(n) for n, f in parts.items()]))
 
 
 def corrupt(text: Column, row: Column, p_insert: float, p_delete: float, seed: int) -> Column:
     """Each space goes with p_delete; before each character whose neighbour before it is no space, one comes with p_insert."""
-    def noise(chars: Column) -> Column:
+    def noise(m: Column) -> Column:
+        chars = m["chars"]
+
         def one(c: Column, i: Column) -> Column:
-            u = uniform(seed, row, i.cast("long"))
+            u = at_place(m["seed"], i.cast("long"))
             return F.when(c == " ", F.when(u < p_delete, "").otherwise(" ")).when((i > 0) & (F.get(chars, i - 1) != " ") & (u < p_insert), F.concat(F.lit(" "), c)).otherwise(c)
 
         return F.array_join(F.transform(chars, one), "")
 
-    return F.when(text == "", text).otherwise(let(F.split(text, ""), noise))
+    return F.when(text == "", text).otherwise(let(F.struct(F.split(text, "").alias("chars"), row_seed(seed, row).alias("seed")), noise))
 
 
 def revert(text: Column, errors: Column) -> Column:

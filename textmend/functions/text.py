@@ -113,8 +113,7 @@ def unmerge(text: Column, sizes: Column) -> Column:
     begin = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out"))
 
     def cut(a: Column, n: Column) -> Column:
-        piece = F.regexp_extract(a["rest"], F.concat(F.lit("^ *((?:[^ ] *){"), n.cast("string"), F.lit("})")), 1)
-        whole = F.regexp_extract(a["rest"], F.concat(F.lit("^( *(?:[^ ] *){"), n.cast("string"), F.lit("})")), 1)
-        return F.struct(F.substring(a["rest"], F.length(whole) + 1, F.length(a["rest"])).alias("rest"), F.concat(a["out"], F.array(F.rtrim(piece))).alias("out"))
+        piece = F.coalesce(F.regexp_substr(a["rest"], F.concat(F.lit("^ *(?:[^ ] *){"), n.cast("string"), F.lit("}"))), F.lit(""))
+        return F.struct(F.substring(a["rest"], F.length(piece) + 1, F.length(a["rest"])).alias("rest"), F.concat(a["out"], F.array(F.trim(piece))).alias("out"))
 
     return F.aggregate(sizes, begin, cut, lambda a: a["out"])

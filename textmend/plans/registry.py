@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmend.plans import corpus, repair
+from textmend.plans import corpus, repair, search
 
-QUERIES = {**corpus.QUERIES, **repair.QUERIES}
-ORACLE_SQL = {**corpus.ORACLE_SQL, **repair.ORACLE_SQL}
+QUERIES = {**corpus.QUERIES, **repair.QUERIES, **search.QUERIES}
+ORACLE_SQL = {**corpus.ORACLE_SQL, **repair.ORACLE_SQL, **search.ORACLE_SQL}
