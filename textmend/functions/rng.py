@@ -18,7 +18,7 @@ def row_seed(seed: int, row: Column) -> Column:
 
 def at_place(row_seed: Column, place: Column) -> Column:
     """A double in [0, 1) for a place within the row."""
-    x = (row_seed + (place + FACTOR) * PRIMES[3]) % MODULUS
+    x = (row_seed + (place.cast("long") + FACTOR) * PRIMES[3]) % MODULUS
     return x * (x % PRIMES[1] + 1) % MODULUS * PRIMES[2] % MODULUS / F.lit(float(MODULUS))
 
 
