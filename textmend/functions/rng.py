@@ -34,5 +34,5 @@ def row_seed_sql(seed: int, row: str) -> str:
 
 def uniform_sql(seed: int, row: str, place: str = "0") -> str:
     """The same in SQL."""
-    x = f"(({row_seed_sql(seed, row)} + (({place}) + {FACTOR}) * {PRIMES[3]}) % {MODULUS})"
+    x = f"(({row_seed_sql(seed, row)} + (cast({place} as bigint) + {FACTOR}) * {PRIMES[3]}) % {MODULUS})"
     return f"({x} * ({x} % {PRIMES[1]} + 1) % {MODULUS} * {PRIMES[2]} % {MODULUS} / {MODULUS}.0)"
