@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textmend.llm.common import id_and_text
 
 #: Pieces a worker remembers before it starts afresh: bounds memory, never changes a result.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -203,6 +203,8 @@ def _batches(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern
             cols.append(pa.array(out[3], pa.list_(pa.int32())))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(cols, names=names)
+    if len(pieces) > MEMORY // 4:  # the worker may go on to other work
+        pieces.clear()
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -54,7 +54,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(1)
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())  # the same buffers
             fps = pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
 

@@ -15,6 +15,7 @@ repeated rows; texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from textmend.llm.common import id_and_text
 
-MIN_MATCH, COVERAGE, BLOCK_CHARS, SLICE_CHARS = 5, 0.6, 4_000_000, 2_000_000
+MIN_MATCH, COVERAGE, BLOCK_CHARS, SLICE_CHARS = 5, 0.6, 4_000_000, 500_000
 _STEP, _ROLL = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,7 +70,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if size > SLICE_CHARS:  # one very long text: word by word powers, not from its start
-            h = np.array([int((value[codes[a:b]] * power[: b - a]).sum()) if b - a <= SLICE_CHARS else hash(codes[a:b].tobytes()) & (1 << 64) - 1 for a, b in zip(starts, ends, strict=True)], np.uint64)
+            h = np.array([int((value[codes[a:b]] * power[: b - a]).sum()) if b - a <= SLICE_CHARS else int.from_bytes(hashlib.blake2b(codes[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(starts, ends, strict=True)], np.uint64)
         else:
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[codes] * power[: len(codes)], dtype=np.uint64)))
             h = (total[ends] - total[starts]) * inverse[starts]
@@ -174,15 +175,28 @@ def tile(found: list[tuple[int, int, int]], n_item: int, min_match: int) -> list
     return tiles
 
 
-def leaks(seeds: Seeds, texts: list[str], min_match: int, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Place of the first and the texts of runs of about SLICE_CHARS characters: what is held at a time is bounded by
+    that or by one text. Null texts are empty."""
+    first, run, size = 0, [], 0
+    for k, text in enumerate(texts):
+        run.append(text.as_py() or "")
+        size += len(run[-1])
+        if size >= SLICE_CHARS or k + 1 == len(texts):
+            yield first, run
+            first, run, size = k + 1, [], 0
+
+
+def leaks(seeds: Seeds, texts: pa.Array, min_match: int, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, covered words, tiles, longest tile) of the pairs whose coverage is enough."""
-    words, first = word_hashes(texts)
-    for text, item, found in seeds.matches(words, first):
-        n = int(seeds.sizes[item])
-        tiles = tile(found, n, min(min_match, n))
-        covered = sum(t[0] for t in tiles)
-        if covered >= coverage * n:
-            yield text, item, covered, len(tiles), tiles[0][0]
+    for begin, run in slices(texts):
+        words, first = word_hashes(run)
+        for text, item, found in seeds.matches(words, first):
+            n = int(seeds.sizes[item])
+            tiles = tile(found, n, min(min_match, n))
+            covered = sum(t[0] for t in tiles)
+            if covered >= coverage * n:
+                yield begin + text, item, covered, len(tiles), tiles[0][0]
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
@@ -211,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             seeds = Seeds(shared.value, min_match)
             for batch in batches:
-                got = list(leaks(seeds, batch.column(1).to_pylist(), min_match, coverage))
+                got = list(leaks(seeds, batch.column(1), min_match, coverage))
                 text, item, covered, n, longest = (list(x) for x in zip(*got, strict=True)) if got else ([],) * 5
                 size = [int(seeds.sizes[k]) for k in item]
                 yield pa.RecordBatch.from_arrays([
@@ -232,9 +246,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             seeds = Seeds(shared.value, min_match)
             for batch in batches:
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                keep = np.ones(len(texts), np.bool_)
-                keep[[k for k, *_ in leaks(seeds, texts, min_match, coverage)]] = False
+                keep = np.ones(batch.num_rows, np.bool_)
+                keep[[k for k, *_ in leaks(seeds, batch.column(at), min_match, coverage)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
