@@ -42,7 +42,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: Cheap test that every mention passes: three digits, an at sign or a title.
-_HINT = rf"@|\d[\d .()-]{{2}}|{_TITLE}"
+_HINT = rf"@|\d[\d .()-]{{2}}|(?=[{''.join(sorted({t[0] for t in MALE + FEMALE}))}]){_TITLE}"
 _SEP = "\x1f"
 
 
@@ -206,6 +206,7 @@ def replace(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str
         attempts = F.coalesce("_attempts", F.create_map().cast("map<string,int>"))
     text = F.col(text_col)
     gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(surrogate(F.get(found, i), secret, attempts), F.lit("")))), "")
+    # the text after the last mention has none: its partner is null
+    joined = F.array_join(F.zip_with(gaps, found, lambda gap, e: F.concat(gap, F.when(e.isNull(), "").otherwise(surrogate(e, secret, attempts)))), "")
     out = docs.withColumn(text_col, F.when(text.rlike(_HINT), joined).otherwise(text))
     return out.drop("_attempts") if attempts is not None else out
