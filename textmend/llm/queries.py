@@ -72,4 +72,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_pii, op2_decontamination, op3_quality_classifier, op4_secrets, op5_simhash, op6_bpe, op7_chat, op8_licenses, op9_quality_rules, op10_html)}
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPE = r"length(regexp_replace({0}, '(<|\[)(\\*)(\||/?s>|/?INST\]|/?SYS\])', '\1\2\\\3', 'g'))"
+_ORDER = "order by turn, role, text"
+#: What SQL can express; tests compare the others with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat": f"""with own as (select unnest(['user', 'assistant']) as role, unnest([0, 1]) as turn), t as (select conv_id, turn, role, coalesce(text, '') as text from conversations union all select -1, turn, role, '</s>[INST] ok [/INST]' from own)
+ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) as turns_sha256, cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(text, '' {_ORDER}) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum({len(chat.TURN + chat.SAYS + chat.END)} + {_ESCAPE.format('role')} + {_ESCAPE.format('text')}) as bigint) as formatted_chars from t group by 1""",
+}
