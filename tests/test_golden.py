@@ -105,9 +105,10 @@ def test_search_keeps_characters_and_repairs(spark):
     model = language_model.Model(language_model.collected(language_model.counts(rows)))
     assert search.beam_search(model, "thecat sat on them at", 1.0, 1.0) == "the cat sat on the mat"
     assert search.two_pass(lambda t: t, lambda t: t, "abc") == "abc"
+    assert search.spelling_beam(model, "teh cat saton the mat", letter_penalty=2.0, space_penalty=1.0).endswith("on the mat")
     uni = {r.token: r.cnt for r in stats.merged_unigrams(stats.unigrams(rows)).collect()}
     bi = {(r.left, r.right): r.cnt for r in stats.bigrams(rows).collect()}
-    for f in (lambda t: search.viterbi(uni, bi, sum(uni.values()), t), lambda t: search.fewest_non_words(uni, t), lambda t: search.left_to_right(uni, bi, t), lambda t: search.maximum_matching(uni, t), lambda t: search.greedy(model, t)):
+    for f in (lambda t: search.iterative_window(model, t), lambda t: search.best_first(model, t), lambda t: search.viterbi(uni, bi, sum(uni.values()), t), lambda t: search.fewest_non_words(uni, t), lambda t: search.left_to_right(uni, bi, t), lambda t: search.maximum_matching(uni, t), lambda t: search.greedy(model, t)):
         for t in ("thecat sat onthe mat", "", "x", "zz yy"):
             assert f(t).replace(" ", "") == t.replace(" ", "")
     assert search.viterbi(uni, bi, sum(uni.values()), "thecatsat") == "the cat sat"

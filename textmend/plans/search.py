@@ -124,6 +124,11 @@ def greedy_repair(spark, sf_dir):
     return with_model(spark, sf_dir, lambda m: partial(R.greedy, m))
 
 
+@query()
+def iterative_window_repair(spark, sf_dir):
+    return with_model(spark, sf_dir, lambda m: partial(R.iterative_window, m))
+
+
 @query()
 def viterbi_repair(spark, sf_dir):
     return with_words(spark, sf_dir, R.viterbi)
@@ -142,3 +147,13 @@ def left_to_right_repair(spark, sf_dir):
 @query()
 def fewest_non_words_repair(spark, sf_dir):
     return with_words(spark, sf_dir, lambda u, b, n, text: R.fewest_non_words(u, text))
+
+
+@query(f"""with {LINES}, w as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from benchmark) where regexp_matches(word, '^[A-Za-z]{{6,}}$')), d as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from lines) where regexp_matches(word, '^[A-Za-z]{{6,}}$'))
+ select w.word, d.word as other, levenshtein(w.word, d.word) as distance, least(levenshtein(w.word, d.word), 3) as banded from w join d on substr(w.word, 1, 5) = substr(d.word, 1, 5)""")
+def levenshtein_pairs(spark, sf_dir):
+    """Edit distances of words of the benchmark and of documents that begin alike, and those cut off above 2."""
+    words = lambda df: df.select(F.explode(T.words(F.col("text"))).alias("word")).where(F.col("word").rlike("^[A-Za-z]{6,}$")).distinct().withColumn("key", F.substring("word", 1, 5))
+    pairs = words(spark.read.parquet(f"{sf_dir}/benchmark.parquet")).join(words(lines(spark, sf_dir)).withColumnRenamed("word", "other"), "key")
+    near = F.levenshtein("word", "other", 2)
+    return pairs.select("word", "other", F.levenshtein("word", "other").cast("long").alias("distance"), F.when(near < 0, 3).otherwise(near).cast("long").alias("banded"))
