@@ -149,7 +149,7 @@ def fewest_non_words_repair(spark, sf_dir):
     return with_words(spark, sf_dir, lambda u, b, n, text: R.fewest_non_words(u, text))
 
 
-@query(f"""with {LINES}, w as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from benchmark) where regexp_matches(word, '^[A-Za-z]{{6,}}$')), d as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from lines) where regexp_matches(word, '^[A-Za-z]{{6,}}$'))
+@query(rf"""with {LINES}, w as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from benchmark) where regexp_matches(word, '^[A-Za-z]{{6,}}$')), d as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from lines) where regexp_matches(word, '^[A-Za-z]{{6,}}$'))
  select w.word, d.word as other, levenshtein(w.word, d.word) as distance, least(levenshtein(w.word, d.word), 3) as banded from w join d on substr(w.word, 1, 5) = substr(d.word, 1, 5)""")
 def levenshtein_pairs(spark, sf_dir):
     """Edit distances of words of the benchmark and of documents that begin alike, and those cut off above 2."""
