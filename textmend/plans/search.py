@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmend.functions import spaces as SP
 from textmend.functions import text as T
 from textmend.operators import evaluate as E
 from textmend.operators import language_model as LM
@@ -149,6 +150,36 @@ def fewest_non_words_repair(spark, sf_dir):
     return with_words(spark, sf_dir, lambda u, b, n, text: R.fewest_non_words(u, text))
 
 
+def repaired_items(spark, sf_dir, corrupt, make) -> DataFrame:
+    """Edit distances from each benchmark text before and after the repair of its noise. The searches are long and the
+    rows few, so rows are dealt out to all cores."""
+    shared = spark.sparkContext.broadcast(LM.collected(LM.counts(lines(spark, sf_dir))))
+    held: list = []
+
+    def function(text: str) -> str:
+        if not held:
+            held.append(make(LM.Model(shared.value)))
+        return held[0](text)
+
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.unify_spaces(F.col("text")).alias("text"))
+    rows = rows.withColumn("corrupt", corrupt(F.col("text"), F.col("item_id"))).repartition(spark.sparkContext.defaultParallelism, "item_id")
+    fixed = R.repair(rows, function, "corrupt")
+    distance = lambda c: F.levenshtein("text", c).cast("long")
+    return fixed.select("item_id", F.md5("predicted").alias("predicted_md5"), distance("corrupt").alias("edits_before"), distance("predicted").alias("edits_after"))
+
+
+@query()
+def best_first_repair(spark, sf_dir):
+    """Best-first search over single changes of spaces."""
+    return repaired_items(spark, sf_dir, lambda t, i: SP.corrupt(t, i, 0.03, 0.15, 31), lambda m: partial(R.best_first, m))
+
+
+@query()
+def spelling_beam_repair(spark, sf_dir):
+    """Beam search over spaces and spelling of texts with typing errors."""
+    return repaired_items(spark, sf_dir, lambda t, i: N.typos(t, i, 0.1, 32), lambda m: partial(R.spelling_beam, m))
+
+
 @query(rf"""with {LINES}, w as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from benchmark) where regexp_matches(word, '^[A-Za-z]{{6,}}$')), d as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from lines) where regexp_matches(word, '^[A-Za-z]{{6,}}$'))
  select w.word, d.word as other, levenshtein(w.word, d.word) as distance, least(levenshtein(w.word, d.word), 3) as banded from w join d on substr(w.word, 1, 5) = substr(d.word, 1, 5)""")
 def levenshtein_pairs(spark, sf_dir):
