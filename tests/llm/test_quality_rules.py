@@ -70,7 +70,7 @@ def test_distances_equal_a_plain_version_and_find_outliers(spark):
         have = np.array([got[i].distance for i in ids])
         ratio = want / have  # the same but for the pool's scale
         assert ratio == pytest.approx(np.full(len(ids), ratio[0]), rel=1e-6)
-        assert ratio[0] >= 1
+        assert ratio[0] >= 1 - 1e-9  # sums are rounded
     assert {i for i, r in got.items() if not r.kept} == {i for i in range(240) if i % 12 == 0}
 
 
