@@ -111,12 +111,27 @@ def _bin(distance: Column) -> Column:
     return F.least(F.lit(TOP_BIN), F.greatest(F.lit(0), F.floor(BINS_PER_E * F.log(F.greatest(distance, F.lit(1e-9)) / 0.05)))).cast("int")
 
 
+def medians(rows: DataFrame, names: list[str], parts: int = 16) -> DataFrame:
+    """(pool, n, m_*): the middle of the bin that holds a statistic's median; bins are a part of its floor wide. A task
+    sends one count for each bin it has met, so what meets at a pool has a bound, however many tasks there are."""
+    from pyspark.sql import Window
+
+    width = {c: FLOORS[c] / parts for c in names}
+    placed = F.array(*[F.struct(F.lit(i).alias("at"), F.floor(F.col(c) / width[c]).alias("bin")) for i, c in enumerate(names)])
+    bins = rows.select("pool", F.explode(placed).alias("p")).groupBy("pool", "p.at", "p.bin").count()
+    each = Window.partitionBy("pool", "at")
+    bins = bins.withColumns({"upto": F.sum("count").over(each.orderBy("bin")), "all": F.sum("count").over(each)})
+    half = bins.where(2 * F.col("upto") >= F.col("all")).groupBy("pool", "at").agg(F.min("bin").alias("bin"), F.first("all").alias("n"))
+    middle = lambda i, c: F.max(F.when(F.col("at") == i, (F.col("bin") + 0.5) * width[c])).alias(f"m_{i}")
+    return half.groupBy("pool").agg(F.max("n").alias("n"), *[middle(i, c) for i, c in enumerate(names)])
+
+
 def estimates(rows: DataFrame, names: list[str], subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
     """(pool, m_*, w_*, scale): rows has pool and the statistics."""
     from pyspark.sql import Window
 
     d = len(names)
-    middle = rows.groupBy("pool").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10000).alias(f"m_{i}") for i, c in enumerate(names)])
+    middle = medians(rows, names)
     start = middle.where(F.col("n") >= 2 * (d + 1)).select(
         "pool", *[f"m_{i}" for i in range(d)], *[F.lit(1 / (2 * FLOORS[names[i]]) if i == j else 0.0).alias(f"w_{i}_{j}") for i in range(d) for j in range(i + 1)]
     )
