@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from textmend.functions import spaces as SP
 from textmend.functions import text as T
+from textmend.llm.common import checkpoint
 from textmend.operators import evaluate as E
 from textmend.operators import language_model as LM
+from textmend.operators import lookup as L
 from textmend.operators import noise as N
 from textmend.operators import search as R
 from textmend.operators import stats as S
@@ -19,8 +21,6 @@ from textmend.plans.corpus import LINES, lines
 from textmend.plans.repair import noisy, rounded
 
 QUERIES, ORACLE_SQL = {}, {}
-#: Entries of the dictionaries that are broadcast.
-MOST_WORDS, MOST_BIGRAMS = 100_000, 200_000
 
 
 def query(sql: str | None = None):
@@ -80,37 +80,50 @@ noise_query("ocr_noise", lambda t, i: N.ocr_errors(t, i, 0.1, 23))
 noise_query("mixed_noise", lambda t, i: N.mixed(t, i, 0.0114, 0.1, 0.1, 0.5, 24))
 
 
-def dictionaries(rows: DataFrame) -> tuple[dict, dict, int]:
-    """The most frequent words and bigrams: bounded, for broadcast."""
-    u = S.top(S.merged_unigrams(S.unigrams(rows)), MOST_WORDS, "token").collect()
-    b = S.bigrams(rows).orderBy(F.desc("cnt"), "left", "right").limit(MOST_BIGRAMS).collect()
-    return {r["token"]: r["cnt"] for r in u}, {(r["left"], r["right"]): r["cnt"] for r in b}, sum(r["cnt"] for r in u)
+def corrupted(spark, sf_dir) -> DataFrame:
+    """The lines with noise, in chunks, worked out once."""
+    rows = noisy(spark, sf_dir).select("seq_id", "lang", "correct", "corrupt")
+    return checkpoint(L.chunked(rows, "seq_id", "corrupt"))
 
 
-def repaired(spark, sf_dir, function, tidy: bool = False) -> DataFrame:
-    """Scores by language of a repair function, which gets the broadcast models. tidy: the rules for marks come last."""
-    rows = noisy(spark, sf_dir).drop("predicted")
-    predicted = R.repair(rows.select("seq_id", "lang", "correct", "corrupt"), function, "corrupt")
+def scores(predicted: DataFrame, tidy: bool = False) -> DataFrame:
+    """Scores by language. tidy: the rules for marks come last."""
     if tidy:
         predicted = predicted.withColumn("predicted", postprocess(F.col("predicted")))
     return rounded(E.summary(E.error_counts(predicted, ["seq_id", "lang"]), ["lang"]))
 
 
-def with_model(spark, sf_dir, make):
-    shared = spark.sparkContext.broadcast(LM.collected(LM.counts(lines(spark, sf_dir))))
-    held: list = []
+def by_grams(rows: DataFrame, counted: DataFrame, text: str, make) -> DataFrame:
+    """rows repaired by the function that ``make`` builds from a model; the counts come from joins with all grams."""
+    counts = L.found(rows, text, L.grams_asked, checkpoint(L.gram_table(counted)))
+    return L.repaired(rows, text, counts, lambda found: make(LM.Model.of(found)))
 
-    def function(text: str) -> str:
-        if not held:
-            held.append(make(LM.Model(shared.value)))
-        return held[0](text)
 
-    return repaired(spark, sf_dir, function)
+def by_words(rows: DataFrame, documents: DataFrame, text: str, function, spans, pairs: bool = False) -> DataFrame:
+    """rows repaired by a function of the counts of words and of pairs, the number of all words, and a text. The counts come
+    from joins with all words, and with all bigrams where ``pairs`` are asked for."""
+    u = checkpoint(S.merged_unigrams(S.unigrams(documents)).withColumnRenamed("token", "key"))
+    total, longest = u.agg(F.sum("cnt"), F.max(F.length("key"))).first()
+    spans = spans(longest or 0)
+    counts = checkpoint(L.found(rows, text, L.words_asked(spans), u))
+    if pairs:
+        b = checkpoint(S.bigrams(documents).select(F.concat_ws(" ", "left", "right").alias("key"), "cnt"))
+        counts = counts.unionAll(L.found(rows, text, L.pairs_asked(spans), b, counts))
 
+    def make(found: dict[str, int]):
+        u = {k: n for k, n in found.items() if " " not in k}
+        b = {tuple(k.split(" ")): n for k, n in found.items() if " " in k}
+        return lambda t: function(u, b, total, t)
 
-def with_words(spark, sf_dir, function):
-    shared = spark.sparkContext.broadcast(dictionaries(lines(spark, sf_dir)))
-    return repaired(spark, sf_dir, lambda text: function(*shared.value, text), tidy=True)
+    return L.repaired(rows, text, counts, make)
+
+
+def with_model(spark, sf_dir, make):
+    return scores(by_grams(corrupted(spark, sf_dir), LM.counts(lines(spark, sf_dir)), "corrupt", make))
+
+
+def with_words(spark, sf_dir, function, spans=lambda longest: L.word_spans(20), pairs: bool = False):
+    return scores(by_words(corrupted(spark, sf_dir), lines(spark, sf_dir), "corrupt", function, spans, pairs), tidy=True)
 
 
 @query()
@@ -132,7 +145,7 @@ def iterative_window_repair(spark, sf_dir):
 
 @query()
 def viterbi_repair(spark, sf_dir):
-    return with_words(spark, sf_dir, R.viterbi)
+    return with_words(spark, sf_dir, R.viterbi, pairs=True)
 
 
 @query()
@@ -142,7 +155,7 @@ def maximum_matching_repair(spark, sf_dir):
 
 @query()
 def left_to_right_repair(spark, sf_dir):
-    return with_words(spark, sf_dir, lambda u, b, n, text: R.left_to_right(u, b, text))
+    return with_words(spark, sf_dir, lambda u, b, n, text: R.left_to_right(u, b, text), L.edge_spans, pairs=True)
 
 
 @query()
@@ -150,20 +163,14 @@ def fewest_non_words_repair(spark, sf_dir):
     return with_words(spark, sf_dir, lambda u, b, n, text: R.fewest_non_words(u, text))
 
 
-def repaired_items(spark, sf_dir, corrupt, make) -> DataFrame:
-    """Edit distances from each benchmark text before and after the repair of its noise. The searches are long and the
-    rows few, so rows are dealt out to all cores."""
-    shared = spark.sparkContext.broadcast(LM.collected(LM.counts(lines(spark, sf_dir))))
-    held: list = []
+def items(spark, sf_dir, corrupt) -> DataFrame:
+    """The benchmark's texts with noise."""
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.unify_spaces(F.col("text")).alias("text"))
+    return rows.withColumn("corrupt", corrupt(F.col("text"), F.col("item_id")))
 
-    def function(text: str) -> str:
-        if not held:
-            held.append(make(LM.Model(shared.value)))
-        return held[0](text)
 
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.unify_spaces(F.col("text")).alias("text"))
-    rows = rows.withColumn("corrupt", corrupt(F.col("text"), F.col("item_id"))).repartition(spark.sparkContext.defaultParallelism, "item_id")
-    fixed = R.repair(rows, function, "corrupt")
+def edits(fixed: DataFrame) -> DataFrame:
+    """Edit distances from each benchmark text before and after the repair of its noise."""
     distance = lambda c: F.levenshtein("text", c).cast("long")
     return fixed.select("item_id", F.md5("predicted").alias("predicted_md5"), distance("corrupt").alias("edits_before"), distance("predicted").alias("edits_after"))
 
@@ -171,13 +178,24 @@ def repaired_items(spark, sf_dir, corrupt, make) -> DataFrame:
 @query()
 def best_first_repair(spark, sf_dir):
     """Best-first search over single changes of spaces."""
-    return repaired_items(spark, sf_dir, lambda t, i: SP.corrupt(t, i, 0.03, 0.15, 31), lambda m: partial(R.best_first, m))
+    rows = items(spark, sf_dir, lambda t, i: SP.corrupt(t, i, 0.03, 0.15, 31))
+    rows = checkpoint(L.chunked(rows, "item_id", "corrupt", 1 << 12))  # the searches are long: small chunks for all cores
+    return edits(by_grams(rows, LM.counts(lines(spark, sf_dir)), "corrupt", lambda m: partial(R.best_first, m)))
 
 
 @query()
 def spelling_beam_repair(spark, sf_dir):
     """Beam search over spaces and spelling of texts with typing errors."""
-    return repaired_items(spark, sf_dir, lambda t, i: N.typos(t, i, 0.1, 32), lambda m: partial(R.spelling_beam, m))
+    shared = spark.sparkContext.broadcast(LM.collected(LM.counts(lines(spark, sf_dir))))
+    held: list = []
+
+    def function(text: str) -> str:
+        if not held:
+            held.append(LM.Model(shared.value))
+        return R.spelling_beam(held[0], text)
+
+    rows = items(spark, sf_dir, lambda t, i: N.typos(t, i, 0.1, 32)).repartition(spark.sparkContext.defaultParallelism, "item_id")
+    return edits(R.repair(rows, function, "corrupt"))
 
 
 @query(rf"""with {LINES}, w as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from benchmark) where regexp_matches(word, '^[A-Za-z]{{6,}}$')), d as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from lines) where regexp_matches(word, '^[A-Za-z]{{6,}}$'))
