@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from tests.conftest import SF
 from textmend.llm import licenses
@@ -35,3 +36,18 @@ def test_documents_equal_a_plain_search(spark):
 
 def test_empty_table(spark):
     assert scanned(spark, []) == []
+
+
+def test_tags_name_their_licence(spark):
+    tags = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "BSD-3-Clause", "CC0-1.0"]
+    assert [g[1] for g in scanned(spark, [f"// SPDX-License-Identifier: {t}\nint main;" for t in tags])] == tags
+    assert scanned(spark, ["/* SPDX-License-Identifier: LGPL-2.1 */", "# SPDX-License-Identifier: MIT OR Zlib"]) == [("UNKNOWN", "", 1)] * 2
+
+
+def test_wrapped_texts(spark):
+    wrap = lambda name, mark: "\n".join(mark + line for line in textwrap.wrap(licenses.SENTENCES[name][0], 72))
+    bsd = ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME"]
+    texts = ["\n\n".join(wrap(n, m) for n in names) for m in ("", "# ", " * ", ";; ", "// ") for names in (["MIT_GRANT", "MIT_NOTICE", "AS_IS"], bsd, bsd[:3], ["GPL3_LATER", "GPL_HOPE"], ["GPL2_LATER", "GPL_HOPE"], ["APACHE2_REF", "APACHE2_COMPLY", "APACHE2_ASIS"])]
+    got = scanned(spark, texts)
+    assert [g[1] for g in got] == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-or-later", "GPL-2.0-or-later", "Apache-2.0"] * 5
+    assert not any(g[2] for g in got)

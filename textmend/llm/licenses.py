@@ -1,8 +1,9 @@
 """Licence scan by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (lower case, letters and digits only, years and holders of
-copyright notices dropped) and looked up among known licence sentences; the sequence of their identifiers is matched
-against ordered rules, the longest and most specific first, and what a rule has matched no later rule sees.
+Texts are cut into sentences and normalised (lower case, letters and digits only, marks at the beginning of lines
+dropped). Known licence sentences are found from cut to cut, the longest first, and may be wrapped over lines; the
+sequence of their identifiers is matched against ordered rules, the longest and most specific first, and what a rule has
+matched no later rule sees.
 
 Built-in functions only: no Python runs on the executors, nothing is shuffled; sentences and rules are literals of the
 plan.
@@ -54,39 +55,48 @@ RULES = [
     ("CC0-1.0", "CC0_REF "), ("Proprietary", "COPYRIGHT (ALL_RIGHTS )"),
 ]
 HINT = r"(?i)licen[sc]|copyright|permission is hereby|redistribution|warrant|creative commons|\bcc (by|0)|rights reserved|public domain|free software"
-CUT, ABOUT = r"[.!?;:]+\s+|\n+", r"licen[sc]|copyright|warrant"
+CUT, ABOUT = r"[.!?;:]+\s+", r"licen[sc]|copyright|warrant"
+#: What stands for the end of a sentence and for the end of a line.
+END, LINE = "\x01", "\x02"
 
 
-def plain_normal(sentence: str) -> str:
-    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
+def pieces(text: Column) -> Column:
+    """The normalised text, its sentences and lines apart. Comment marks and blanks at the beginning of a line go first, so
+    that none of them cuts a wrapped sentence."""
+    cut = F.regexp_replace(F.regexp_replace(F.lower(text), r"\n[^\p{L}\p{N}]*", "\n"), CUT, END)
+    return F.concat(F.lit(LINE), F.regexp_replace(F.translate(cut, "\n", LINE), f"[^a-z0-9{END}{LINE}]+", " "), F.lit(LINE))
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-
-
-def known() -> dict[str, str]:
-    """Normalised sentence -> identifier. Sentences that contain an inner cut are known by each of their pieces' first."""
-    out = {}
+def known() -> list[tuple[str, str]]:
+    """(pattern over pieces, identifier), the longest sentence first: words may stand on different lines, and are cut only
+    where the sentence itself is."""
+    out = []
     for name, texts in SENTENCES.items():
         for text in texts:
-            pieces = [plain_normal(p) for p in re.split(CUT, text + " ") if plain_normal(p)]
-            out.setdefault(pieces[0] if len(pieces) == 1 else plain_normal(text), name)
-            if len(pieces) > 1:
-                out.setdefault(max(pieces, key=len), name)
-    return out
+            sentence = re.sub(f"[^a-z0-9{END}]+", " ", re.sub(CUT, END, text.lower())).strip()
+            words = re.split(f" *{END} *| ", sentence)
+            gaps = [f"[ {LINE}{END}]+" if END in g else f"[ {LINE}]+" for g in re.findall(f" *{END} *| ", sentence)]
+            body = "".join(x for pair in zip(words, [*gaps, ""], strict=True) for x in pair)
+            out.append((len(words), f"([{END}{LINE}]) ?{body}(?= ?[{END}{LINE}])", name))
+    return [(pattern, name) for _, pattern, name in sorted(out, key=lambda x: -x[0])]
+
+
+def identifiers(text: Column) -> Column:
+    """Identifiers of the text's sentences in order; those that have nothing to do with licences have none."""
+    marked = pieces(text)
+    for pattern, name in known():
+        marked = F.regexp_replace(marked, pattern, f"$1#{name}")
 
+    def one(piece: Column) -> Column:
+        return F.when(piece.startswith("#"), F.substring(piece, 2, 100)).when(piece.rlike(r"^(c )?copyright (c )?[a-z0-9]"), "COPYRIGHT").when(piece.rlike(ABOUT), "UNKNOWN")
 
-def identifier(sentence: Column) -> Column:
-    """Identifier of a normalised sentence; null if it has nothing to do with licences."""
-    table = F.create_map(*[F.lit(x) for kv in sorted(known().items()) for x in kv])
-    return F.coalesce(F.try_element_at(table, sentence), F.when(sentence.rlike(r"^(c )?copyright (c )?[a-z0-9]"), "COPYRIGHT").when(sentence.rlike(ABOUT), "UNKNOWN"))
+    return F.filter(F.transform(F.split(marked, f"[{END}{LINE}]"), lambda x: one(F.trim(x))), lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, licenses, n_unknown): identifiers in text order, licences sorted; one row per input row."""
     rows = id_and_text(docs, id_col, text_col)
-    ids = F.filter(F.transform(F.split("text", CUT), lambda s: identifier(normal(s))), lambda x: x.isNotNull())
+    ids = identifiers(F.col("text"))
     rows = rows.select(F.col("id").alias("doc_id"), F.when(F.col("text").rlike(HINT), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     left = F.transform("ids", lambda x: F.concat(x, F.lit(" ")))
     rows = rows.withColumn("rest", F.array_join(left, "")).withColumn("licenses", F.array().cast("array<string>"))
