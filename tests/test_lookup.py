@@ -38,7 +38,7 @@ def test_words_equal_whole_dictionaries(spark):
     for function, spans, pairs in (
         (search.viterbi, lambda n: lookup.word_spans(20), True),
         (lambda u, b, n, t: search.left_to_right(u, b, t), lookup.edge_spans, True),
-        (lambda u, b, n, t: search.maximum_matching(u, t), lambda n: lookup.word_spans(20), False),
+        (lambda u, b, n, t: search.maximum_matching(u, t), lookup.word_spans, False),
         (lambda u, b, n, t: search.fewest_non_words(u, t), lambda n: lookup.word_spans(20), False),
     ):
         got = predicted(plans.by_words(chunks, documents, "corrupt", function, spans, pairs))
@@ -53,3 +53,23 @@ def test_grams_equal_the_whole_model(spark):
     for function in (lambda m, t: search.beam_search(m, t, 6.32, 6.9), search.greedy, search.iterative_window, search.best_first):
         got = predicted(plans.by_grams(chunks, counted, "corrupt", lambda m: lambda t: function(m, t)))
         assert got == {r.seq_id: None if r.corrupt is None else function(model, r.corrupt) for r in rows.collect()}
+
+
+def test_long_lines_are_repaired_to_their_end():
+    model = LM.Model({("\x02" * 3 + "the cat sat " * 50 + "\x03")[i : i + 4]: 50 for i in range(602)})
+    text = ("thecat sat " * 260).strip()
+    assert search.greedy(model, text) == ("the cat sat " * 260).strip()
+
+
+def test_words_of_any_length_match():
+    word = "electroencephalographically"
+    assert search.maximum_matching({word: 3, "is": 5}, f"is{word}is") == f"is {word} is"
+
+
+def test_edits_beyond_fifty_are_counted(spark, tmp_path):
+    text = "several plain words to be changed somehow " * 100
+    spark.createDataFrame([(1, "en", "s", text, len(text))], "doc_id long, lang string, source string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("typo_noise", "hyphen_noise", "ocr_noise", "mixed_noise"):
+        assert plans.QUERIES[name](spark, str(tmp_path)).first().edits > 0
+    a, b = F.lit("ab" * 3000), F.lit("ba" * 1000 + "cd" * 2000)
+    assert spark.range(1).select(plans.exact_edits(a, b) == F.levenshtein(a, b)).first()[0]

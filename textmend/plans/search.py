@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmend.functions import spaces as SP
@@ -65,10 +65,16 @@ def topk_rank_histogram(spark, sf_dir):
     return ranked.where("rank < 10").groupBy("rank").agg(F.sum("cnt").alias("n"))
 
 
+def exact_edits(a: Column, b: Column) -> Column:
+    """Edit distance without a bound; bounded ones, which are quick, come first and give way where they end."""
+    near = [F.nullif(F.levenshtein(a, b, k), F.lit(-1)) for k in (50, 500, 5000)]
+    return F.coalesce(*near, F.levenshtein(a, b)).cast("long")
+
+
 def noise_query(name: str, make):
     def run(spark, sf_dir) -> DataFrame:
         rows = lines(spark, sf_dir).select("seq_id", "text", make(F.col("text"), F.col("seq_id")).alias("noisy"))
-        return rows.select("seq_id", F.md5("noisy").alias("noisy_md5"), F.levenshtein("text", "noisy", 50).cast("long").alias("edits"))
+        return rows.select("seq_id", F.md5("noisy").alias("noisy_md5"), exact_edits(F.col("text"), F.col("noisy")).alias("edits"))
 
     run.__name__ = name
     QUERIES[name] = run
@@ -99,12 +105,13 @@ def by_grams(rows: DataFrame, counted: DataFrame, text: str, make) -> DataFrame:
     return L.repaired(rows, text, counts, lambda found: make(LM.Model.of(found)))
 
 
-def by_words(rows: DataFrame, documents: DataFrame, text: str, function, spans, pairs: bool = False) -> DataFrame:
+def by_words(rows: DataFrame, documents: DataFrame, text: str, function, spans, pairs: bool = False, sized: bool = False) -> DataFrame:
     """rows repaired by a function of the counts of words and of pairs, the number of all words, and a text. The counts come
-    from joins with all words, and with all bigrams where ``pairs`` are asked for."""
+    from joins with all words, and with all bigrams where ``pairs`` are asked for. sized: the function also gets the number of
+    characters of the longest word."""
     u = checkpoint(S.merged_unigrams(S.unigrams(documents)).withColumnRenamed("token", "key"))
     total, longest = u.agg(F.sum("cnt"), F.max(F.length("key"))).first()
-    spans = spans(longest or 0)
+    spans, more = spans(longest or 0), (longest or 1,) * sized
     counts = checkpoint(L.found(rows, text, L.words_asked(spans), u))
     if pairs:
         b = checkpoint(S.bigrams(documents).select(F.concat_ws(" ", "left", "right").alias("key"), "cnt"))
@@ -113,7 +120,7 @@ def by_words(rows: DataFrame, documents: DataFrame, text: str, function, spans,
     def make(found: dict[str, int]):
         u = {k: n for k, n in found.items() if " " not in k}
         b = {tuple(k.split(" ")): n for k, n in found.items() if " " in k}
-        return lambda t: function(u, b, total, t)
+        return lambda t: function(u, b, total, t, *more)
 
     return L.repaired(rows, text, counts, make)
 
@@ -122,8 +129,8 @@ def with_model(spark, sf_dir, make):
     return scores(by_grams(corrupted(spark, sf_dir), LM.counts(lines(spark, sf_dir)), "corrupt", make))
 
 
-def with_words(spark, sf_dir, function, spans=lambda longest: L.word_spans(20), pairs: bool = False):
-    return scores(by_words(corrupted(spark, sf_dir), lines(spark, sf_dir), "corrupt", function, spans, pairs), tidy=True)
+def with_words(spark, sf_dir, function, spans=lambda longest: L.word_spans(20), pairs: bool = False, sized: bool = False):
+    return scores(by_words(corrupted(spark, sf_dir), lines(spark, sf_dir), "corrupt", function, spans, pairs, sized), tidy=True)
 
 
 @query()
@@ -150,7 +157,7 @@ def viterbi_repair(spark, sf_dir):
 
 @query()
 def maximum_matching_repair(spark, sf_dir):
-    return with_words(spark, sf_dir, lambda u, b, n, text: R.maximum_matching(u, text))
+    return with_words(spark, sf_dir, lambda u, b, n, text, longest: R.maximum_matching(u, text, longest), L.word_spans, sized=True)
 
 
 @query()
