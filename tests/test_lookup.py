@@ -73,3 +73,15 @@ def test_edits_beyond_fifty_are_counted(spark, tmp_path):
         assert plans.QUERIES[name](spark, str(tmp_path)).first().edits > 0
     a, b = F.lit("ab" * 3000), F.lit("ba" * 1000 + "cd" * 2000)
     assert spark.range(1).select(plans.exact_edits(a, b) == F.levenshtein(a, b)).first()[0]
+
+
+def test_long_searches_run_over_documents(spark, tmp_path):
+    texts = ["die Tür ist grün", "the door is green\na second line"]
+    spark.createDataFrame([(i, "en", "s", t, len(t)) for i, t in enumerate(texts)], "doc_id long, lang string, source string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("best_first_repair", "spelling_beam_repair"):
+        assert {r.seq_id for r in plans.QUERIES[name](spark, str(tmp_path)).collect()} == {0, 1_000_000, 1_000_001}
+
+
+def test_letters_beyond_ascii_are_put_in():
+    model = LM.Model({("\x02" * 3 + "die tür ist grün " * 50 + "\x03")[i : i + 4]: 50 for i in range(852)})
+    assert search.spelling_beam(model, "die tur ist grün", letter_penalty=1.0) == "die tür ist grün"

@@ -170,23 +170,21 @@ def fewest_non_words_repair(spark, sf_dir):
     return with_words(spark, sf_dir, lambda u, b, n, text: R.fewest_non_words(u, text))
 
 
-def items(spark, sf_dir, corrupt) -> DataFrame:
-    """The benchmark's texts with noise."""
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.unify_spaces(F.col("text")).alias("text"))
-    return rows.withColumn("corrupt", corrupt(F.col("text"), F.col("item_id")))
+def noised(spark, sf_dir, corrupt) -> DataFrame:
+    """The lines of documents with noise. The searches are long: small chunks for all cores."""
+    rows = lines(spark, sf_dir).select("seq_id", "text", corrupt(F.col("text"), F.col("seq_id")).alias("corrupt"))
+    return checkpoint(L.chunked(rows, "seq_id", "corrupt", 1 << 14))
 
 
 def edits(fixed: DataFrame) -> DataFrame:
-    """Edit distances from each benchmark text before and after the repair of its noise."""
-    distance = lambda c: F.levenshtein("text", c).cast("long")
-    return fixed.select("item_id", F.md5("predicted").alias("predicted_md5"), distance("corrupt").alias("edits_before"), distance("predicted").alias("edits_after"))
+    """Edit distances from each line before and after the repair of its noise."""
+    return fixed.select("seq_id", F.md5("predicted").alias("predicted_md5"), *[exact_edits(F.col("text"), F.col(c)).alias(n) for c, n in (("corrupt", "edits_before"), ("predicted", "edits_after"))])
 
 
 @query()
 def best_first_repair(spark, sf_dir):
     """Best-first search over single changes of spaces."""
-    rows = items(spark, sf_dir, lambda t, i: SP.corrupt(t, i, 0.03, 0.15, 31))
-    rows = checkpoint(L.chunked(rows, "item_id", "corrupt", 1 << 12))  # the searches are long: small chunks for all cores
+    rows = noised(spark, sf_dir, lambda t, i: SP.corrupt(t, i, 0.03, 0.15, 31))
     return edits(by_grams(rows, LM.counts(lines(spark, sf_dir)), "corrupt", lambda m: partial(R.best_first, m)))
 
 
@@ -201,8 +199,7 @@ def spelling_beam_repair(spark, sf_dir):
             held.append(LM.Model(shared.value))
         return R.spelling_beam(held[0], text)
 
-    rows = items(spark, sf_dir, lambda t, i: N.typos(t, i, 0.1, 32)).repartition(spark.sparkContext.defaultParallelism, "item_id")
-    return edits(R.repair(rows, function, "corrupt"))
+    return edits(R.repair(noised(spark, sf_dir, lambda t, i: N.typos(t, i, 0.1, 32)), function, "corrupt"))
 
 
 @query(rf"""with {LINES}, w as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from benchmark) where regexp_matches(word, '^[A-Za-z]{{6,}}$')), d as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from lines) where regexp_matches(word, '^[A-Za-z]{{6,}}$'))
