@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from textmend.functions import spaces as SP
 from textmend.functions import text as T
-from textmend.llm.common import checkpoint
 from textmend.operators import evaluate as E
 from textmend.operators import language_model as LM
 from textmend.operators import lookup as L
 from textmend.operators import noise as N
 from textmend.operators import search as R
 from textmend.operators import stats as S
+from textmend.operators.lineage import checkpoint
 from textmend.operators.rules import postprocess
 from textmend.plans.corpus import LINES, lines
 from textmend.plans.repair import noisy, rounded
