@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder all executors share (spark.checkpoint.dir); a folder of our own only where it is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textmend-"))
-    return df.checkpoint()
+from textmend.operators.lineage import checkpoint  # noqa: F401 - the operators take it from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
