@@ -10,7 +10,7 @@ import corpus_pipeline as pipeline
 from tests.conftest import SF
 from tests.llm.test_pii import FOUND
 from tests.llm.test_quality_rules import plain_counts
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import shingles
 from textmend.llm import bpe, quality_rules
 
 
@@ -32,11 +32,11 @@ def test_stages_and_run(spark, tmp_path):
     assert set(kept[0]) == {i for i, ok in verdicts.items() if ok}
     assert not any(plain_counts(start[i])[-1] for i in kept[0])
 
-    prints = {i: plain_fingerprint(start[i]) for i in kept[0]}
-    roots, least = plain_components(list(prints.values())), {}
-    for i, f in prints.items():
-        least[roots[f]] = min(i, least.get(roots[f], i))
-    assert set(kept[1]) == set(least.values()) and len(kept[1]) < len(kept[0])
+    sets = {i: shingles(start[i] or "") for i in kept[0]}
+    alike = lambda a, b, least: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
+    gone = set(kept[0]) - set(kept[1])
+    assert gone and all(any(alike(i, j, 0.7) for j in sets if j < i) for i in gone)
+    assert not any(alike(i, j, 0.8) for i in kept[1] for j in kept[1] if i < j)
 
     items = [plain_words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {i for i in kept[1] if not any(item in plain_words(start[i]) for item in items)}

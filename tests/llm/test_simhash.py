@@ -37,7 +37,8 @@ def test_fingerprint_equals_the_definition():
     rng = random.Random(1)
     for n in (0, 1, 3, 4, 5, 50):
         text = "".join(rng.choice(["a", "Bc", "É", "x"]) + rng.choice([" ", "\n", "\t  ", " "]) for _ in range(n))
-        assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
+        assert simhash.fingerprint(text.encode()) == [plain_fingerprint(text)]
+        assert simhash.fingerprint(text.encode(), 4, 2)[0] == plain_fingerprint(text)
 
 
 def test_forest_keeps_every_component():
@@ -55,7 +56,7 @@ def test_forest_keeps_every_component():
             x = parent[x]
         return x
 
-    edges = simhash.GrayIndex(codes, leaf=8, fan=4).forest()
+    edges = simhash.GrayIndex(codes[:, None], leaf=8, fan=4).forest()
     assert len(edges) < len(codes)
     for i, j in edges:
         parent[find(int(codes[i]))] = find(int(codes[j]))
@@ -94,6 +95,44 @@ def test_near_duplicates_against_all_pairs(spark):
         assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def shingles(text, words=5):
+    t = text.lower().split()
+    return {tuple(t[i : i + words]) for i in range(max(1, len(t) - words + 1))}
+
+
+def test_similar_documents_against_all_pairs(spark):
+    """Of the pairs that brute force finds at a similarity of 0.8, at least 9 in 10 share a group; strangers share none."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "alpha beta gamma delta rho tau chi psi".split() for b in range(60)]
+    rows = []
+    for i in range(120):
+        text = [rng.choice(words) for _ in range(rng.choice([120, 300, 600]))]
+        rows.append((10 * i, " ".join(text)))
+        for k in range(1, rng.choice([1, 2, 5])):
+            copy = list(text)
+            for _ in range(round(len(text) * 0.018)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((10 * i + k, " ".join(copy)))
+    rows += [(5001, None), (5002, ""), (5003, "too short"), (None, "too short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert of[5001] == of[5002] == 5001 and of[5003] == of[None] == 5003
+    sets = {i: shingles(t) for i, t in rows if i is not None and i < 5000}
+    pairs = [(a, b) for a in sets for b in sets if a < b and a // 10 == b // 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 100 and sum(of[a] == of[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(of[i] // 10 == i // 10 for i in sets)
+    assert of == {r.doc_id: r.component_id for r in simhash.similar_documents(df, group_rows=3).collect()}
+
+
+def test_gray_order_of_two_lanes(spark):
+    """Neighbours in Gray order differ in one bit, over the edge of a lane too."""
+    codes = [n ^ n >> 1 for n in range((1 << 64) - 4, (1 << 64) + 4)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(k, signed(c >> 64), signed(c & (1 << 64) - 1)) for k, c in enumerate(codes)], "k long, w0 long, w1 long")
+    ranks = [[(x & (1 << 64) - 1) for x in r] for r in df.orderBy("k").select(*simhash.gray_rank(["w0", "w1"])).collect()]
+    assert [(a << 64) + b for a, b in ranks] == list(range((1 << 64) - 4, (1 << 64) + 4))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(df).collect() == []
+    assert simhash.near_duplicates(df).collect() == simhash.similar_documents(df).collect() == []

@@ -1,12 +1,18 @@
 """SimHash near-duplicates through a Gray-ordered hierarchical index.
 
-Pipeline: one fingerprint per document (Arrow tasks), distinct fingerprints, candidate groups by the pigeonhole
-principle, a Gray-ordered index inside each group, connected components by alternating star contraction.
+Pipeline: one fingerprint per document (Arrow tasks), distinct fingerprints, groups that agree on masked bits, a
+Gray-ordered index inside each group, connected components by alternating star contraction.
 
-Any two fingerprints with at most ``max_bits`` differing bits agree on at least ``blocks - max_bits`` of ``blocks`` bit
-blocks, so every link lies inside a group of fingerprints that share such blocks, and no link is lost. Groups above
-``group_rows`` members are cut into chunks and every pair of chunks becomes a group of its own: no task holds more than
-two chunks, whatever the number of copies.
+Two settings of one search. ``near_duplicates`` links 64-bit fingerprints of at most ``max_bits`` differing bits, and
+loses none: such codes agree on at least ``blocks - max_bits`` of ``blocks`` bit blocks, so every link lies inside a
+group of codes that share such blocks. ``similar_documents`` takes 256-bit fingerprints of five-word shingles and links
+those whose angle may stand for a Jaccard similarity of 0.8: 46 bits, where nine of ten such pairs lie (the angle is
+38.8 bits on average, give or take 5.7). So far apart no blocks need agree, and the groups share ``KEY_BITS`` bits
+under each of ``KEYS`` masks drawn once. A pair of 0.8 meets in no group with probability (1 - 0.8485^16)^48 = 0.03, one
+of 0.9 with less than 10^-4; documents with several copies have several ways into their group.
+
+Groups above ``group_rows`` members are cut into chunks and every pair of chunks becomes a group of its own: no task
+holds more than two chunks, whatever the number of copies.
 
 Edge cases: null and empty texts have no words and fingerprint zero, and link like any other; fewer words than a
 shingle make one shingle of all of them; repeated rows yield repeated result rows; a null id never becomes a
@@ -15,6 +21,8 @@ component id unless a component has no other; an empty table yields an empty res
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,16 +32,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmend.llm.common import checkpoint, id_and_text
+from textmend.llm.common import checkpoint, id_and_text, small_side
+
+WORDS, MAX_BITS, BLOCKS, GROUP_ROWS, LEAF, FAN = 4, 4, 6, 4096, 8, 4
+#: Of ``similar_documents``: words of a shingle, similarity, lanes of 64 bits, bits that the codes of a group share, and
+#: groups of a code.
+SIMILAR_WORDS, SIMILARITY, LANES, KEY_BITS, KEYS = 5, 0.8, 4, 16, 48
+
 
-WORDS, MAX_BITS, BLOCKS, GROUP_ROWS, LEAF = 4, 4, 6, 4096, 32
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A second hash made from a first one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Signed 64-bit SimHash of a UTF-8 text; A-Z are lower-cased, words are runs without ASCII white space."""
+def fingerprint(text: bytes, words: int = WORDS, lanes: int = 1) -> list[int]:
+    """Signed 64-bit lanes of the SimHash of a UTF-8 text; A-Z are lower-cased, words are runs without ASCII white space.
+    The first lane is made of the shingles' XXH64, each further one of the mixed hashes of the lane before."""
     tokens = text.lower().split()  # of bytes: both touch ASCII only
     if not tokens:
-        return 0
+        return [0] * lanes
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     n = max(1, len(tokens) - words + 1)
@@ -41,151 +60,224 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     stops = ends[words - 1 :].tolist() if len(tokens) >= words else [len(joined)]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp bigint) for each row."""
+    out = []
+    for lane in range(lanes):
+        hashes = _mixed(hashes) if lane else hashes
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, 1 << 16):
+            part = hashes[at : at + (1 << 16)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, lanes: int = 1) -> DataFrame:
+    """(id, w0, w1, ...) for each row."""
     rows = id_and_text(docs, id_col, text_col)
+    names = lane_names(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())  # the same buffers
-            fps = pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
+            found = np.array([fingerprint(t.as_py(), words, lanes) for t in texts], np.int64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k]) for k in range(lanes)]], names=["id", *names])
+
+    return rows.mapInArrow(run, ", ".join([f"id {dict(rows.dtypes)['id']}", *[f"{w} bigint" for w in names]]))
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp bigint")
 
+def lane_names(lanes: int) -> list[str]:
+    return [f"w{k}" for k in range(lanes)]
 
-def gray_rank(code: Column) -> Column:
-    """Place of a code in the Gray sequence: the xor of all its right shifts."""
-    for shift in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
-    return code
 
+def gray_rank(lanes: list[str]) -> list[Column]:
+    """Place of a code in the Gray sequence, highest lane first: the xor of all its right shifts, inverted below a lane of
+    odd parity."""
+    out, odd = [], None
+    for name in lanes:
+        code = F.col(name)
+        for shift in (1, 2, 4, 8, 16, 32):
+            code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+        if odd is not None:
+            code = code.bitwiseXOR(F.negative(odd))
+        odd = code.bitwiseAND(F.lit(1))
+        out.append(code)
+    return out
 
-def block_masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[int]:
+
+def _signed(mask: int, lanes: int) -> list[int]:
+    parts = [mask >> (64 * k) & (1 << 64) - 1 for k in range(lanes)]
+    return [m - (1 << 64) if m >> 63 else m for m in parts]
+
+
+def block_masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[list[int]]:
     """Signed masks, each of blocks - max_bits bit blocks; two codes within max_bits agree under one of them."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     one = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    masks = [sum(one[i] for i in c) for c in combinations(range(blocks), blocks - max_bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_signed(sum(one[i] for i in c), 1) for c in combinations(range(blocks), blocks - max_bits)]
+
+
+def drawn_masks(keys: int = KEYS, bits: int = KEY_BITS, lanes: int = LANES) -> list[list[int]]:
+    """Signed masks of ``bits`` bits each, drawn once and for all."""
+    rng = random.Random(1)
+    return [_signed(sum(1 << b for b in rng.sample(range(64 * lanes), bits)), lanes) for _ in range(keys)]
+
+
+def bits_of(similarity: float, lanes: int = LANES) -> int:
+    """Differing bits that nine of ten pairs of sets of equal size and of this Jaccard similarity keep to: each bit differs
+    with their angle's share of a half turn."""
+    n, p = 64 * lanes, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(n * p + 1.2816 * math.sqrt(n * p * (1 - p)))
 
 
 class GrayIndex:
-    """Hierarchy over codes in Gray order. A node keeps the bits all its codes share (mask, value); going up, nodes are
-    merged in runs of ``fan``. Two nodes can hold a link only if their shared bits differ in at most max_bits places,
-    so whole pairs of groups are dropped by the differences gathered so far, level by level."""
-
-    def __init__(self, codes: np.ndarray, max_bits: int = MAX_BITS, leaf: int = LEAF, fan: int = 8):
-        self.codes, self.max_bits, self.leaf = codes, max_bits, leaf
-        starts = np.arange(0, len(codes), leaf)
-        ones, zeros = np.bitwise_and.reduceat(codes, starts), np.bitwise_and.reduceat(~codes, starts)
+    """Hierarchy over codes (rows of 64-bit lanes) in Gray order. A node keeps the bits all its codes share (mask, value);
+    going up, nodes are merged in runs of ``fan``. Two nodes hold no link if their shared bits differ in more than
+    max_bits places. Going down, only the bits that a level newly shares are compared and their differences are added
+    to those gathered above, and whole pairs of groups are dropped by the sum."""
+
+    def __init__(self, codes: np.ndarray, max_bits: int = MAX_BITS, leaf: int = LEAF, fan: int = FAN):
+        self.codes, self.max_bits, self.leaf, self.fan = codes, max_bits, leaf, fan
+        self.starts = np.arange(0, len(codes), leaf)
+        ones, zeros = np.bitwise_and.reduceat(codes, self.starts, axis=0), np.bitwise_and.reduceat(~codes, self.starts, axis=0)
         self.levels = [(ones | zeros, ones)]
-        self.fan = fan
         while len(ones) > 1:
             at = np.arange(0, len(ones), fan)
-            ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
+            ones, zeros = np.bitwise_and.reduceat(ones, at, axis=0), np.bitwise_and.reduceat(zeros, at, axis=0)
             self.levels.append((ones | zeros, ones))
 
-    def leaf_pairs(self, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def leaf_pairs(self, most: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of leaves that can hold a link, in bounded blocks: depth first from the root pair."""
-        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        one = np.zeros(1, np.int64)
+        stack = [(len(self.levels) - 1, one, one, one, np.zeros((1, self.codes.shape[1]), np.uint64))]
         while stack:
-            level, a, b = stack.pop()
+            level, a, b, gathered, seen = stack.pop()
             if len(a) > most:
                 for at in range(0, len(a), most):
-                    stack.append((level, a[at : at + most], b[at : at + most]))
+                    stack.append((level, *(x[at : at + most] for x in (a, b, gathered, seen))))
                 continue
             mask, value = self.levels[level]
-            ok = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= self.max_bits
-            a, b = a[ok], b[ok]
+            both = mask[a] & mask[b]
+            gathered = gathered + np.bitwise_count((value[a] ^ value[b]) & both & ~seen).sum(axis=1)
+            ok = gathered <= self.max_bits
+            a, b, gathered, both = a[ok], b[ok], gathered[ok], both[ok]
             if not len(a):
                 continue
             if level == 0:
                 yield a, b
                 continue
-            below = len(self.levels[level - 1][0])
-            child = np.arange(self.fan)
+            below, child = len(self.levels[level - 1][0]), np.arange(self.fan)
             x = (a[:, None, None] * self.fan + child[None, :, None]).repeat(self.fan, 2).ravel()
             y = (b[:, None, None] * self.fan + child[None, None, :]).repeat(self.fan, 1).ravel()
+            parent = np.arange(len(a)).repeat(self.fan * self.fan)
             ok = (x < below) & (y < below) & (x <= y)
-            if ok.any():
-                for at in range(0, int(ok.sum()), most):
-                    stack.append((level - 1, x[ok][at : at + most], y[ok][at : at + most]))
+            stack.append((level - 1, x[ok], y[ok], gathered[parent[ok]], both[parent[ok]]))
 
     def forest(self) -> list[tuple[int, int]]:
         """Edges of a spanning forest of the link graph: fewer edges than codes, the same components."""
-        n, parent, edges = len(self.codes), list(range(len(self.codes))), []
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for leaves_a, leaves_b in self.leaf_pairs():
-            for p, q in zip(leaves_a.tolist(), leaves_b.tolist(), strict=True):
-                i0, i1, j0, j1 = p * self.leaf, min(n, (p + 1) * self.leaf), q * self.leaf, min(n, (q + 1) * self.leaf)
-                root = find(i0)
-                if all(find(x) == root for x in (*range(i0, i1), *range(j0, j1))):
-                    continue
-                near = np.bitwise_count(self.codes[i0:i1, None] ^ self.codes[None, j0:j1]) <= self.max_bits
-                for i, j in zip(*(x.tolist() for x in near.nonzero()), strict=True):
-                    a, b = find(i0 + i), find(j0 + j)
-                    if a != b:
-                        parent[b] = a
-                        edges.append((i0 + i, j0 + j))
+        n, size = len(self.codes), self.leaf
+        label, edges = np.arange(n), []
+        inside = np.arange(size)
+        for a, b in self.leaf_pairs():
+            low, high = np.minimum.reduceat(label, self.starts), np.maximum.reduceat(label, self.starts)
+            open_ = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))  # one component already: nothing to learn
+            a, b = a[open_], b[open_]
+            i = (a[:, None, None] * size + inside[None, :, None]).repeat(size, 2).ravel()
+            j = (b[:, None, None] * size + inside[None, None, :]).repeat(size, 1).ravel()
+            ok = (i < j) & (j < n)
+            i, j = i[ok], j[ok]
+            near = (np.bitwise_count(self.codes[i] ^ self.codes[j]).sum(axis=1) <= self.max_bits) & (label[i] != label[j])
+            edges += joined(label, i[near], j[near])
         return edges
 
 
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """The links i - j that join components; label, a component's number for each code, is brought up to date."""
+    if not len(i):
+        return []
+    pairs = np.sort(np.stack((label[i], label[j]), axis=1), axis=1)
+    _, first = np.unique(pairs, axis=0, return_index=True)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for k, (p, q) in zip(first.tolist(), pairs[first].tolist(), strict=True):
+        p, q = find(p), find(q)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(i[k]), int(j[k])))
+    old = np.fromiter(parent, np.int64, len(parent))
+    new = np.fromiter((find(x) for x in old.tolist()), np.int64, len(old))
+    order = np.argsort(old)
+    at = np.searchsorted(old[order], label)
+    hit = (at < len(old)) & (old[order][np.minimum(at, len(old) - 1)] == label)
+    label[hit] = new[order][at[hit]]
+    return out
+
+
 def _link_groups(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group and Gray rank; only the last, open group is carried from batch to batch."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    rest: list[np.ndarray] = []
-
-    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        *group, fp = rows
-        new = np.flatnonzero(np.logical_or.reduce([g[1:] != g[:-1] for g in group])) + 1
-        begin, end = np.concatenate(([0], new)), np.concatenate((new, [len(fp)]))
-        many = end - begin > 1
-        codes, us, vs = fp.view(np.uint64), [], []
-        for a, b in zip(begin[many].tolist(), end[many].tolist(), strict=True):
-            for i, j in GrayIndex(codes[a:b], max_bits).forest():
-                us.append(fp[a + i])
-                vs.append(fp[a + j])
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
+    """Rows (g, lanes) come sorted by group and Gray rank; only the last, open group is carried from batch to batch. Groups
+    of one leaf are compared all at once, larger ones by their index."""
+    rest: tuple[np.ndarray, np.ndarray] | None = None
+
+    def links(group: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(group[1:] != group[:-1]) + 1
+        begin, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(group)]))
+        size, label = np.repeat(end - begin, end - begin), np.arange(len(group))
+        found: list[tuple[int, int]] = []
+        for shift in range(1, LEAF):
+            i = np.flatnonzero((group[:-shift] == group[shift:]) & (size[:-shift] <= LEAF))
+            near = (np.bitwise_count(codes[i] ^ codes[i + shift]).sum(axis=1) <= max_bits) & (label[i] != label[i + shift])
+            found += joined(label, i[near], i[near] + shift)
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            if b - a > LEAF:
+                found += [(a + i, a + j) for i, j in GrayIndex(codes[a:b], max_bits).forest()]
+        u, v = np.array(found, np.int64).reshape(-1, 2).T
+        columns = [codes[side, k].view(np.int64) for side in (u, v) for k in range(codes.shape[1])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f"{s}{k}" for s in "uv" for k in range(codes.shape[1])])
 
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        if not len(now[0]):
+        if not batch.num_rows:
             continue
-        rows = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest else now
-        last = np.logical_or.reduce([g != g[-1] for g in rows[:-1]])
-        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        group = batch.column(0).to_numpy(zero_copy_only=False)
+        codes = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)], axis=1).view(np.uint64)
+        if rest is not None:
+            group, codes = np.concatenate((rest[0], group)), np.concatenate((rest[1], codes))
+        closed = np.flatnonzero(group != group[-1])
+        cut = int(closed[-1]) + 1 if len(closed) else 0
         if cut:
-            yield links([x[:cut] for x in rows])
-        rest = [x[cut:] for x in rows]
-    if rest:
-        yield links(rest)
-
-
-def link_edges(codes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """codes: distinct (fp). Edges (u, v) with the components of the whole link graph, a forest in each group."""
-    masks = block_masks(blocks, max_bits)
-    keyed = codes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "v"))
-    large = keyed.groupBy("k", "v").count().where(F.col("count") > group_rows).select("k", "v", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
-    dealt = keyed.join(large, ["k", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
-    grouped = dealt.select("k", "v", F.explode(pairs).alias("c"), "fp").select("k", "v", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "fp")
-    ordered = grouped.repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j", gray_rank(F.col("fp")))
-    return ordered.mapInArrow(lambda b: _link_groups(b, max_bits), "u bigint, v bigint")
+            yield links(group[:cut], codes[:cut])
+        rest = group[cut:], codes[cut:]
+    if rest is not None:
+        yield links(*rest)
+
+
+def link_edges(codes: DataFrame, masks: list[list[int]], max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """codes: distinct lanes. Edges (u, v) with the components of the whole link graph, a forest in each group. A group is
+    known by a hash of its mask and masked bits; should two share a hash, they are compared as one and lose nothing."""
+    lanes = codes.columns
+    key = [F.xxhash64(F.lit(k), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(lanes, mask, strict=True)]) for k, mask in enumerate(masks)]
+    keyed = codes.select(F.explode(F.array(*key)).alias("g"), *lanes)
+    large = checkpoint(keyed.groupBy("g").count().where(F.col("count") > group_rows).select("g", F.ceil(F.col("count") / group_rows).cast("int").alias("parts")))
+    if not large.isEmpty():
+        dealt = keyed.join(small_side(large), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        chunk = F.pmod(F.xxhash64(*lanes), F.col("parts")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64(F.col("g"), F.least(chunk, j), F.greatest(chunk, j)))
+        keyed = dealt.select(F.explode(F.when(F.col("parts") == 1, F.array("g")).otherwise(pairs)).alias("g"), *lanes)
+    ordered = keyed.repartition("g").sortWithinPartitions("g", *gray_rank(lanes))
+    sides = [[f"{s}{k}" for k in range(len(lanes))] for s in "uv"]
+    linked = ordered.mapInArrow(lambda b: _link_groups(b, max_bits), ", ".join(f"{c} bigint" for side in sides for c in side))
+    return linked.select(*[_node(side).alias(s) for s, side in zip("uv", sides, strict=True)])
+
+
+def _node(lanes: list[str]) -> Column:
+    """A code as one value."""
+    return F.col(lanes[0]) if len(lanes) == 1 else F.struct(*[F.col(w).alias(f"w{k}") for k, w in enumerate(lanes)])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -209,17 +301,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError("components did not settle")
-    return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    found = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    return found.unionAll(found.select("root").distinct().select(F.col("root").alias("node"), "root"))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, masks: list[list[int]], max_bits: int, group_rows: int) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row per input row."""
+    lanes = lane_names(len(masks[0]))
+    rows = checkpoint(fingerprints(docs, id_col, text_col, words, len(lanes)))
+    codes = checkpoint(rows.groupBy(*lanes).agg(F.min("id").alias("least")))
+    roots = components(link_edges(codes.select(*lanes), masks, max_bits, group_rows))
+    linked = checkpoint(codes.withColumn("node", _node(lanes)).join(roots, "node").select(*lanes, "least", "root"))
+    smallest = checkpoint(linked.groupBy("root").agg(F.min("least").alias("smallest")))
+    # only codes that have a link meet their component's least id; a component of any size is a side that can be split
+    joined_ids = checkpoint(linked.join(small_side(smallest), "root").select(*lanes, "smallest"))
+    by_code = codes.join(small_side(joined_ids), lanes, "left").select(*lanes, F.coalesce("smallest", "least").alias("component_id"))
+    spelled = F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in lanes])
+    return rows.join(by_code, lanes).select(F.col("id").alias("doc_id"), spelled.alias("fingerprint"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS,
                     blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per input row."""
-    rows = checkpoint(fingerprints(docs, id_col, text_col, words))
-    codes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(link_edges(codes.select("fp"), max_bits, blocks, group_rows))
-    labelled = codes.join(roots, codes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labelled = checkpoint(labelled)
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_code = labelled.join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_code, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    """(doc_id, fingerprint, component_id): 64-bit fingerprints link at max_bits or fewer differing bits, all of them."""
+    return grouped(docs, id_col, text_col, words, block_masks(blocks, max_bits), max_bits, group_rows)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY,
+                      keys: int = KEYS, key_bits: int = KEY_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): 256-bit fingerprints link where their angle may stand for the similarity."""
+    return grouped(docs, id_col, text_col, words, drawn_masks(keys, key_bits), bits_of(similarity), group_rows)
