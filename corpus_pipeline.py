@@ -21,8 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; rows that share an id are one document and stay together."""
-    groups = simhash.near_duplicates(docs)
+    """The document of the smallest id of each group of documents of a similarity of 0.8 on five-word shingles; rows that
+    share an id are one document and stay together. Null and empty texts are one group; rows without an id stay."""
+    groups = simhash.similar_documents(docs)
     return without(docs, checkpoint(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")))
 
 
