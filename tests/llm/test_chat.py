@@ -1,4 +1,7 @@
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from textmend.llm import chat
 
@@ -15,7 +18,10 @@ def test_everything_reads_back(spark):
     rows += [(90, 0, "assistant", "same", "", 0)] * 2 + [(None, 5, "user", "no id", "", 0), (91, 1, "assistant", "", "", 0)]
     rng.shuffle(rows)
     made = chat.format_conversations(spark.createDataFrame(rows, SCHEMA))
-    got = made.select("conv_id", chat.read_turns(made.formatted).alias("turns"), chat.read_targets(made.formatted, made.examples).alias("targets")).collect()
+    got = made.select("conv_id", chat.read_turns(made.formatted).alias("turns")).collect()
+    targets = {}
+    for r in chat.examples(made.withColumn("context", F.lit("clash")), outer=True).orderBy("example").collect():
+        targets.setdefault(r.conv_id, []).extend([] if r.example is None else [(r.example, r.target)])
     want = {}
     for conv, turn, role, text, *_ in rows:
         want.setdefault(conv, []).append((turn, role or "", text or ""))
@@ -23,7 +29,8 @@ def test_everything_reads_back(spark):
     for r in got:
         turns = [t[1:] for t in sorted(want[r.conv_id])]
         assert [(t.role, t.text) for t in r.turns] == turns
-        assert r.targets == [t for role, t in turns if role == "assistant"]
+        unescaped = [re.sub(chat._ESCAPED, r"\1\2\3", t) for _, t in targets[r.conv_id]]
+        assert unescaped == [t for role, t in turns if role == "assistant"] and [k for k, _ in targets[r.conv_id]] == list(range(len(unescaped)))
     for r in made.collect():
         assert all(s not in r.formatted for s in ("</s>", "<s>", "[INST]", "[/INST]"))
         assert r.formatted.count("<|") == 3 * len(want[r.conv_id])
@@ -37,5 +44,13 @@ def test_each_assistant_turn_is_an_example_with_its_whole_prefix(spark):
     assert got == {(1, 0): (first, "A1"), (1, 1): (first + "A1<|end|><|turn|>user<|says|>U2<|end|><|turn|>assistant<|says|>", "A2")}
 
 
+def test_long_conversations(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(3000)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.examples(made).where("example in (0, 1499)").orderBy("example").collect()
+    assert [(r.example, r.target) for r in got] == [(0, "t1"), (1499, "t2999")]
+    assert got[1].context.endswith("<|says|>t2998<|end|><|turn|>assistant<|says|>") and got[1].context.startswith("<|turn|>user<|says|>t0<|end|>")
+
+
 def test_empty_table(spark):
     assert chat.format_conversations(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -2,8 +2,8 @@
 
 A conversation becomes one formatted string: for each turn ``<|turn|>role<|says|>text<|end|>``. Every assistant turn is
 an example of its own: the string up to and with that turn, in which only that turn's text is under the loss mask. As
-all examples of a conversation are prefixes of its string, they are kept as offsets (end, target start, target end), a
-bounded row per conversation; ``examples`` cuts out the strings.
+all examples of a conversation are prefixes of its string, they travel as offsets (end, target start, target end);
+``examples`` expands them, a row for each assistant turn with its context and its target.
 
 Control strings inside roles and texts are escaped by one more backslash behind their first character, which can be
 undone exactly, whatever the text holds.
@@ -18,7 +18,7 @@ yields an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template, and what is escaped: its own control strings and those of other common templates.
@@ -37,30 +37,26 @@ def unescape(text: Column) -> Column:
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, examples array<struct<example, end, target_start, target_end>>): offsets count code points
-    from 0, ends are exclusive."""
+    from 0, ends are exclusive. Offsets are running sums over a conversation's turns; turns are shuffled once."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), filled(role_col).alias("role"), filled(text_col).alias("text")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    part = lambda t: F.struct((t["role"] == ASSISTANT).alias("target"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(SAYS)).alias("head"), escape(t["text"]).alias("body"))
-    parts = grouped.select("conv_id", F.transform("turns", part).alias("parts"))
-    formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<example:int,end:int,target_start:int,target_end:int>>").alias("out"))
-
-    def add(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["head"])
-        stop = start + F.length(p["body"])
-        end = stop + len(END)
-        made = F.when(p["target"], F.concat(a["out"], F.array(F.struct(a["n"].alias("example"), end.alias("end"), start.alias("target_start"), stop.alias("target_end"))))).otherwise(a["out"])
-        return F.struct(end.alias("at"), (a["n"] + p["target"].cast("int")).alias("n"), made.alias("out"))
-
-    return parts.select("conv_id", formatted.alias("formatted"), F.aggregate("parts", begin, add, lambda a: a["out"]).alias("examples"))
-
-
-def examples(formatted: DataFrame) -> DataFrame:
-    """(conv_id, example, context, target): one row for each assistant turn; only target is trained on."""
-    rows = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), filled(role_col).alias("role"), filled(text_col).alias("text"))
+    rows = rows.select("conv_id", "turn", "role", "text", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS)).alias("head"), escape(F.col("text")).alias("body"))
+    size = F.length("head") + F.length("body") + len(END)
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    target = F.col("role") == ASSISTANT
+    rows = rows.select("conv_id", "head", "body", target.alias("target"), F.sum(size).over(so_far).alias("end"), (F.count_if(target).over(so_far) - 1).cast("int").alias("example"))
+    stop = (F.col("end") - len(END)).cast("int")
+    example = F.struct("example", F.col("end").cast("int").alias("end"), (stop - F.length("body")).alias("target_start"), stop.alias("target_end"))
+    pieces = F.sort_array(F.collect_list(F.struct("end", F.concat("head", "body", F.lit(END)).alias("piece"))))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("formatted"), F.sort_array(F.collect_list(F.when(F.col("target"), example))).alias("examples"))
+
+
+def examples(formatted: DataFrame, keep: list[str] | None = None, outer: bool = False) -> DataFrame:
+    """(keep, example, context, target): one row for each assistant turn, its context all that stands before it; only target
+    is trained on. outer: a conversation without examples keeps a row of nulls. keep: ["conv_id"] unless given."""
+    rows = formatted.select(*(keep or ["conv_id"]), "formatted", (F.explode_outer if outer else F.explode)("examples").alias("e"))
     cut = lambda a, b: F.substring("formatted", a + 1, b - a)
-    return rows.select("conv_id", F.col("e.example").alias("example"), cut(F.lit(0), F.col("e.target_start")).alias("context"), cut(F.col("e.target_start"), F.col("e.target_end")).alias("target"))
+    return rows.select(*(keep or ["conv_id"]), F.col("e.example").alias("example"), cut(F.lit(0), F.col("e.target_start")).alias("context"), cut(F.col("e.target_start"), F.col("e.target_end")).alias("target"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -69,8 +65,3 @@ def read_turns(formatted: Column) -> Column:
     pieces = F.filter(F.split(formatted, quoted(END), -1), lambda x: x != "")
     return F.transform(pieces, lambda x: F.struct(
         unescape(F.substring(F.substring_index(x, SAYS, 1), F.lit(len(TURN) + 1), F.length(x))).alias("role"), unescape(F.substring_index(x, SAYS, -1)).alias("text")))
-
-
-def read_targets(formatted: Column, examples: Column) -> Column:
-    """The text of each example's target, in order."""
-    return F.transform(examples, lambda e: unescape(F.substring(formatted, e["target_start"] + 1, e["target_end"] - e["target_start"])))

@@ -51,11 +51,16 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     made = chat.format_conversations(turns.unionByName(own))
-    read = made.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_targets(F.col("formatted"), F.col("examples")), "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
-    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
-    )
+    turns = chat.read_turns(F.col("formatted"))
+    spoken = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    whole = ["conv_id", "n_turns", "turns_sha256", "formatted_chars"]
+    made = made.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "examples")
+    # the rows are dealt out by conversation already, so that no turn is shuffled again
+    expanded = chat.examples(made, whole, outer=True)
+    targets = F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", chat.unescape(F.col("target")).alias("said")))))
+    read = expanded.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in whole[1:]], F.array_join(F.transform(targets, lambda t: t["said"]), "").alias("loss"),
+                                           F.count("example").alias("n_examples"), F.coalesce(F.sum(F.length("context")), F.lit(0)).alias("context_chars"))
+    return read.select(*whole[:3], F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "context_chars")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,10 @@ _ESCAPE = r"length(regexp_replace({0}, '(<|\[)(\\*)(\||/?s>|/?INST\]|/?SYS\])',
 _ORDER = "order by turn, role, text"
 #: What SQL can express; tests compare the others with brute force.
 ORACLE_SQL: dict[str, str] = {
-    "op7_chat": f"""with own as (select unnest(['user', 'assistant']) as role, unnest([0, 1]) as turn), t as (select conv_id, turn, role, coalesce(text, '') as text from conversations union all select -1, turn, role, '</s>[INST] ok [/INST]' from own)
+    "op7_chat": f"""with own as (select unnest(['user', 'assistant']) as role, unnest([0, 1]) as turn), t as (select conv_id, turn, role, coalesce(text, '') as text from conversations union all select -1, turn, role, '</s>[INST] ok [/INST]' from own),
+ s as (select *, {len(chat.TURN + chat.SAYS + chat.END)} + {_ESCAPE.format('role')} + {_ESCAPE.format('text')} as n, {len(chat.TURN + chat.SAYS)} + {_ESCAPE.format('role')} as head from t),
+ c as (select *, coalesce(sum(n) over (partition by conv_id {_ORDER} rows between unbounded preceding and 1 preceding), 0) as before from s)
  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) as turns_sha256, cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
- sha256(coalesce(string_agg(text, '' {_ORDER}) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum({len(chat.TURN + chat.SAYS + chat.END)} + {_ESCAPE.format('role')} + {_ESCAPE.format('text')}) as bigint) as formatted_chars from t group by 1""",
+ sha256(coalesce(string_agg(text, '' {_ORDER}) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(n) as bigint) as formatted_chars, count(*) filter (where role = 'assistant') as n_examples,
+ cast(coalesce(sum(before + head) filter (where role = 'assistant'), 0) as bigint) as context_chars from c group by 1""",
 }
