@@ -12,14 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textmend.functions.arrays import let, running_sums
 from textmend.functions.rng import at_place, row_seed
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value worked out once: a lambda over a one-element array."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def gaps(text: Column) -> Column:
     """array<int>, one longer than the characters that are no spaces."""
     return F.transform(F.regexp_extract_all(F.concat(text, F.lit("$")), F.lit("( *)[^ ]"), F.lit(1)), F.length)
@@ -37,15 +33,17 @@ def spaced(characters: Column, gaps: Column) -> Column:
 
 def corruptions(true: Column, corrupt: Column) -> Column:
     """array<struct<position, type>> in places of the corrupt text. true, corrupt: gaps."""
-    begin = F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<position:int,type:string>>").alias("out"))
+    def one(g: Column) -> Column:
+        s, o, c = g["s"], g["o"], g["c"]
+        typed = lambda p, kind: F.struct(p.alias("position"), F.lit(kind).alias("type"))
+        return F.when(o > c, F.array(typed(s + c, "DELETION"))).otherwise(F.transform(F.sequence(s + o, s + c - 1), lambda p: typed(p, "INSERTION")))
 
-    def add(a: Column, g: Column) -> Column:
-        s, o, c = a["s"], g["o"], g["c"]
-        made = F.when(o > c, F.array(F.struct((s + c).alias("position"), F.lit("DELETION").alias("type")))).when(
-            c > o, F.transform(F.sequence(s + o, s + c - 1), lambda p: F.struct(p.alias("position"), F.lit("INSERTION").alias("type"))))
-        return F.struct((s + c + 1).alias("s"), F.when(o == c, a["out"]).otherwise(F.concat(a["out"], made)).alias("out"))
+    def placed(ends: Column) -> Column:
+        # a gap's spaces and its character end at ends[i], so its first space would stand c + 1 before
+        rows = F.zip_with(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), ends, lambda g, e: F.struct((e - g["c"] - 1).cast("int").alias("s"), g["o"].alias("o"), g["c"].alias("c")))
+        return F.flatten(F.transform(F.filter(rows, lambda g: g["o"] != g["c"]), one))
 
-    return F.aggregate(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), begin, add, lambda a: a["out"])
+    return let(running_sums(F.transform(corrupt, lambda c: c + 1)), placed)
 
 
 def error_counts(true: Column, corrupt: Column, predicted: Column) -> Column:

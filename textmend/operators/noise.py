@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textmend.functions.rng import at_place, row_seed
-from textmend.functions.spaces import let
+from textmend.functions.arrays import let
 
 #: What scanners mistake for what.
 OCR = [("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("h", "li"), ("e", "c"), ("c", "e"), ("i", "l"), ("l", "i"), ("o", "0"), ("s", "5"), ("b", "6")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmend.functions.spaces import let
+from textmend.functions.arrays import let
 
 #: Snippets that stick to their left or right neighbour, and to both.
 NO_SPACE_BEFORE, NO_SPACE_AFTER, NO_SPACE_AROUND = [".", ",", ")", "]", "?", "!", ";", ":", "'", "'s"], ["(", "["], " "
