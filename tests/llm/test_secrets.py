@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -41,6 +42,70 @@ def test_battery_tells_random_from_regular(spark):
     assert [s for s in got[hits.index(True)][1]][0][:3:2] == (5, 45)
 
 
+def tail(z):
+    return 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
+
+
+def plain_battery(token):
+    """(three times the least p-value of the battery, p-value against text) of a token of small letters and digits."""
+    symbols = "0123456789abcdefghijklmnopqrstuvwxyz"
+    x, size = [symbols.index(c) for c in token], len(symbols)
+    n, freedom = len(x), len(symbols) - 1
+    chi = sum((x.count(v) - n / size) ** 2 / (n / size) for v in range(size))
+    z = ((chi / freedom) ** (1 / 3) - (1 - 2 / (9 * freedom))) / math.sqrt(2 / (9 * freedom))
+    high = [v >= size / 2 for v in x]
+    n1, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * n1 * (n - n1) / n + 1
+    z_runs = abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    m = sum(x) / n
+    z_serial = abs((sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / max(sum((a - m) ** 2 for a in x), 1e-9) + 1 / n) * math.sqrt(n))
+    random_p = min(1.0, 3 * min(tail(z), 2 * tail(z_runs), 2 * tail(z_serial)))
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
+    switch = tail((changes - 0.5 - (n - 1) * 0.2) / math.sqrt((n - 1) * 0.2 * 0.8))
+    letters = [secrets.FREQUENCIES[ord(c) - 97] for c in token if c.isalpha()]
+    rare = tail((6.55 - sum(letters) / len(letters)) / 4.0 * math.sqrt(len(letters))) if letters else 1.0
+    return random_p, min(1.0, 2 * min(switch, rare))
+
+
+def test_battery_equals_a_plain_one(spark):
+    rng = random.Random(9)
+    tokens = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz"[: rng.choice([18, 36])]) for _ in range(rng.randrange(20, 70))) + "z9" for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = df.select("t", secrets.p_value(df.t).alias("p"), secrets.text_p_value(df.t).alias("q")).collect()
+    for r in got:
+        p, q = plain_battery(r.t)
+        assert abs(r.p - p) < 1e-9 and abs(r.q - q) < 1e-9
+
+
+def test_discoveries_are_few_among_ordinary_tokens_and_many_among_random_ones(spark):
+    """Names made of words are reported in less than one document of twenty; random tokens of any encoding in most."""
+    rng = random.Random(10)
+    words = "data user index page file report update value order item config server cluster table summary result mode parse name list token source north".split()
+    ordinary = [rng.choice(["_", "-", "/", ""]).join(rng.choice([str, str.capitalize])(rng.choice(words)) for _ in range(rng.randrange(5, 8))) + rng.choice(["", "2", "2024"]) for _ in range(300)]
+    encodings = ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    noise = ["".join(rng.choice(a) for _ in range(32)) for a in encodings for _ in range(50)]
+    got = scanned(spark, [(i, f"see {t} there", "", 0) for i, t in enumerate(ordinary + noise)])
+    hits = [any(s[3] == "random" for s in every) for _, every in got]
+    assert sum(hits[:300]) <= 15 and all(sum(hits[300 + 50 * k : 350 + 50 * k]) >= 40 for k in range(4))
+
+
+def test_many_spans_in_a_text(spark):
+    rng = random.Random(11)
+    text = " ".join(f"{rng.getrandbits(128):032x}" for _ in range(6000))
+    (base, every), = scanned(spark, [(1, text, "", 0)])
+    assert base == plain_base(text) == every
+
+
+def test_random_spans_keep_apart_from_base_spans(spark):
+    rng = random.Random(12)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda n: "".join(rng.choice(symbols) for _ in range(n))
+    texts = [" ".join(rng.choice([f"token={make(30)}", make(30), f"AKIA{make(5)}ABCDEFGHIJKLMNOPQRS", f"x{make(9)}{rng.getrandbits(128):032x}", "plain"]) for _ in range(12)) for _ in range(60)]
+    for base, every in scanned(spark, [(i, t, "", 0) for i, t in enumerate(texts)]):
+        added = [s for s in every if s[3] == "random"]
+        assert not any(b[0] < s[2] and s[0] < b[2] for s in added for b in base)
+
+
 def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in docs.collect()}
