@@ -74,3 +74,17 @@ def test_hash_paths_agree():
 def test_empty_tables(spark):
     assert found(spark, [])[2] == []
     assert found(spark, [(1, "a b c d e f", "")], [])[2] == []
+
+
+def test_matches_do_not_depend_on_pieces(monkeypatch):
+    """A repeated word meets itself in every place; small pieces leave the same maximal matches as one."""
+    rng = random.Random(4)
+    items = [(1, "a " * 60), (2, "a b " * 30), (3, " ".join(rng.choice("abc") for _ in range(80)))]
+    texts = ["a " * 300, "b a " * 90, " ".join(rng.choice("abc") for _ in range(400)), "", "x y"]
+    words, first = tiling.word_hashes(texts)
+    seeds = tiling.Seeds(items)
+    whole = [(t, i, sorted(found)) for t, i, found in seeds.matches(words, first)]
+    assert whole
+    for pairs in (1, 37, 1000):
+        monkeypatch.setattr(tiling, "PAIRS", pairs)
+        assert [(t, i, sorted(found)) for t, i, found in seeds.matches(words, first)] == whole

@@ -118,7 +118,9 @@ class Seeds:
                 self.by_size.append((size, unique, np.concatenate((at, [len(seeds)])), owner[order], place[order], quick))
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(text, item, maximal matches as (length, place in item, place in text)) for all pairs with a seed."""
+        """(text, item, maximal matches as (length, place in item, place in text)) for all pairs with a seed. Seeds are met
+        in pieces of a bounded number of pairs, each of which leaves its runs along diagonals only: a word that fills
+        text and item makes one run a diagonal."""
         for size, unique, at, owner, place, quick in self.by_size:
             w = windows(words, size)
             found = np.flatnonzero(quick[w >> np.uint64(44)])
@@ -132,20 +134,46 @@ class Seeds:
             found, seed, text = found[ok], seed[ok], text[ok]
             if not len(found):
                 continue
-            times = at[seed + 1] - at[seed]
-            rank = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            entry = np.repeat(at[seed], times) + rank
-            text, i = np.repeat(text, times), np.repeat(found - first[text], times)
-            item, j = owner[entry], place[entry]
-            order = np.lexsort((j, i - j, item, text))
-            text, item, i, j = text[order], item[order], i[order], j[order]
-            same = (np.diff(text) == 0) & (np.diff(item) == 0)
-            run = np.flatnonzero(np.concatenate(([True], ~(same & (np.diff(i - j) == 0) & (np.diff(j) == 1)))))
-            length = np.diff(np.concatenate((run, [len(j)]))) + size - 1
-            pair = np.flatnonzero(np.concatenate(([True], (np.diff(text[run]) != 0) | (np.diff(item[run]) != 0))))
-            rows = list(zip(length.tolist(), j[run].tolist(), i[run].tolist(), strict=True))
+            runs = merged_runs([r for begin in pieces(at[seed + 1] - at[seed]) for r in (self._runs(found[begin], seed[begin], text[begin], first, at, owner, place),)])
+            text, item, j, i, length = runs
+            pair = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(item) != 0))))
+            rows = list(zip((length + size - 1).tolist(), j.tolist(), i.tolist(), strict=True))
             for a, b in zip(pair.tolist(), [*pair[1:].tolist(), len(rows)], strict=True):
-                yield int(text[run[a]]), int(item[run[a]]), rows[a:b]
+                yield int(text[a]), int(item[a]), rows[a:b]
+
+    @staticmethod
+    def _runs(found: np.ndarray, seed: np.ndarray, text: np.ndarray, first: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rows text, item, place in item, place in text, number of seeds in a row on one diagonal."""
+        times = at[seed + 1] - at[seed]
+        rank = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        entry = np.repeat(at[seed], times) + rank
+        text, i = np.repeat(text, times), np.repeat(found - first[text], times)
+        item, j = owner[entry], place[entry]
+        return merged_runs([np.stack((text, item, j, i, np.ones(len(i), np.int64)))])
+
+
+#: Pairs of a place in a text and a place in an item that are looked at at a time.
+PAIRS = 1 << 18
+
+
+def pieces(times: np.ndarray) -> Iterator[slice]:
+    """Slices of seeds that make about PAIRS pairs each."""
+    ends = np.cumsum(times)
+    begin = 0
+    while begin < len(times):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, side="right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def merged_runs(runs: list[np.ndarray]) -> np.ndarray:
+    """Runs (text, item, place in item, place in text, length), those that go on where another ends made one, in order."""
+    text, item, j, i, length = np.concatenate(runs, axis=1)
+    order = np.lexsort((j, i - j, item, text))
+    text, item, j, i, length = (x[order] for x in (text, item, j, i, length))
+    same = (np.diff(text) == 0) & (np.diff(item) == 0) & (np.diff(i - j) == 0) & (j[1:] == j[:-1] + length[:-1])
+    run = np.flatnonzero(np.concatenate(([True], ~same)))
+    return np.stack((text[run], item[run], j[run], i[run], np.add.reduceat(length, run)))
 
 
 def tile(found: list[tuple[int, int, int]], n_item: int, min_match: int) -> list[tuple[int, int, int]]:
@@ -199,6 +227,16 @@ def leaks(seeds: Seeds, texts: pa.Array, min_match: int, coverage: float) -> Ite
                 yield begin + text, item, covered, len(tiles), tiles[0][0]
 
 
+#: The seeds of the last block that this Python worker has seen: built once, not for each task.
+_held: list = []
+
+
+def seeds_of(block: list[tuple[object, str]], min_match: int) -> Seeds:
+    if not _held or _held[0] is not block or _held[1] != min_match:
+        _held[:] = [block, min_match, Seeds(block, min_match)]
+    return _held[2]
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The query set, a bounded block at a time."""
     block, size = [], 0
@@ -223,7 +261,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(shared.value, min_match)
+            seeds = seeds_of(shared.value, min_match)
             for batch in batches:
                 got = list(leaks(seeds, batch.column(1), min_match, coverage))
                 text, item, covered, n, longest = (list(x) for x in zip(*got, strict=True)) if got else ([],) * 5
@@ -244,7 +282,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(shared.value, min_match)
+            seeds = seeds_of(shared.value, min_match)
             for batch in batches:
                 keep = np.ones(batch.num_rows, np.bool_)
                 keep[[k for k, *_ in leaks(seeds, batch.column(at), min_match, coverage)]] = False
