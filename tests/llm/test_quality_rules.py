@@ -37,48 +37,58 @@ def test_counts_equal_the_definition(spark):
     assert all(not (r.base_failed and r.kept) for r in got)
 
 
-def plain_mcd(x):
-    """Concentration steps on all rows at once, with the same start, share and floors."""
-    floors = np.array(list(qr.FLOORS.values()))
-    mean, inverse = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1], np.diag(1 / (2 * floors) ** 2)
-    for _ in range(qr.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-        bins = np.clip(np.floor(qr.BINS_PER_E * np.log(np.maximum(d, 1e-9) / 0.05)), 0, qr.TOP_BIN)
-        before = np.array([(bins < b).sum() for b in bins])
-        near = x[before < qr.SUBSET * len(x)]
-        mean = near.mean(axis=0)
-        inverse = np.linalg.inv((near.T @ near) / len(near) - np.outer(mean, mean) + np.diag(floors**2))
-    return np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-
-
-def test_distances_equal_a_plain_version_and_find_outliers(spark):
+def plain_mcd(x, starts=30, steps=12):
+    """Least log-determinant over random starts, each concentrated on exactly the nearest share of the rows."""
+    rng, floors, best = np.random.default_rng(1), np.diag(np.array(list(qr.FLOORS.values())) ** 2), np.inf
+    size = int(np.ceil(qr.SUBSET * len(x)))
+    for _ in range(starts):
+        near = x[rng.choice(len(x), 10, replace=False)]
+        for _ in range(steps):
+            mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + floors
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(d)[:size]]
+        best = min(best, np.linalg.slogdet(np.cov(near.T, bias=True) + floors)[1])
+    return best
+
+
+def mixed_rows(n=240):
     rng = random.Random(1)
     vocabulary = [f"w{i}" * (1 + i % 3) for i in range(4000)]
     rows = []
-    for i in range(240):
+    for i in range(n):
         text = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60, 300)))
         if i % 12 == 0:
             text = " ".join(w.upper() + "$#" for w in text.split())
         rows.append((i, text, "en", "s" if i % 2 else "t"))
+    return rows
+
+
+def test_determinant_is_least_and_outliers_are_found(spark):
+    rows, names = mixed_rows(), list(qr.FLOORS)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    names = list(qr.FLOORS)
-    stats = {r.doc_id: r for r in qr.text_statistics(df).collect()}
-    got = {r.doc_id: r for r in qr.apply_rules(df).collect()}
+    stats = qr.text_statistics(df).cache()
+    found = {r.source: r for r in qr.estimates(stats.select("lang", "source", *names), names, prior=1e-9).collect()}
     for source in "st":
-        ids = [r[0] for r in rows if r[3] == source]
-        want = plain_mcd(np.array([[stats[i][c] for c in names] for i in ids]))
-        have = np.array([got[i].distance for i in ids])
-        ratio = want / have  # the same but for the pool's scale
-        assert ratio == pytest.approx(np.full(len(ids), ratio[0]), rel=1e-6)
-        assert ratio[0] >= 1 - 1e-9  # sums are rounded
+        x = np.array([[r[c] for c in names] for r in stats.where(stats.source == source).collect()])
+        assert found[source].log_det <= plain_mcd(x) + 0.05
+        lower = np.array([[found[source][f"w_{i}_{j}"] if j <= i else 0 for j in range(6)] for i in range(6)])
+        assert -2 * np.log(np.diag(lower)).sum() == pytest.approx(found[source].log_det)
+    got = {r.doc_id: r for r in qr.apply_rules(df).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {i for i in range(240) if i % 12 == 0}
+
+
+def test_small_groups_are_measured_by_their_language(spark):
+    """Outliers are outliers in a source of one row as in a source of hundreds."""
+    rows = [(i, t, lang, "s" if i > 30 else f"own{i}") for i, t, lang, _ in mixed_rows()]
+    got = {r.doc_id: r for r in qr.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert {i for i, r in got.items() if not r.kept} == {i for i in range(240) if i % 12 == 0}
 
 
 def test_empty_table_and_few_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, pool string, kept int"
+    schema = "doc_id long, text string, lang string, source string, start string, kept int"
     assert qr.apply_rules(spark.createDataFrame([], schema)).collect() == []
     few = qr.apply_rules(spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(70)), "en", "s", "p", 1)], schema)).collect()
-    assert [(r.kept, r.distance) for r in few] == [(True, None)]
+    assert [(r.kept, r.distance is not None) for r in few] == [(True, True)]
 
 
 def test_labels(spark):
