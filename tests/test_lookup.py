@@ -1,5 +1,7 @@
 """Repair with counts joined from whole tables against repair with all counts at hand."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from textmend.functions import spaces as SP
@@ -51,10 +53,20 @@ def test_grams_equal_the_whole_model(spark):
     model = LM.Model(LM.collected(counted))
     chunks = lookup.chunked(rows, "seq_id", "corrupt", 3000)
     for function in (lambda m, t: search.beam_search(m, t, 6.32, 6.9), search.greedy, search.iterative_window, search.best_first):
-        got = predicted(plans.by_grams(chunks, counted, "corrupt", lambda m: lambda t: function(m, t)))
+        got = predicted(plans.by_grams(chunks, counted, "corrupt", lambda m: lookup.each(lambda t: function(m, t))))
         assert got == {r.seq_id: None if r.corrupt is None else function(model, r.corrupt) for r in rows.collect()}
 
 
+def test_beams_of_many_texts_equal_those_of_one():
+    rng = random.Random(3)
+    words = "the cat sat on a mat and then that other cat ran off".split()
+    said = " ".join(rng.choice(words) for _ in range(400))
+    model = LM.Model({("\x02" * 3 + said + "\x03")[i : i + 4]: 3 for i in range(len(said) + 1)})
+    texts = ["", " ", "a", "the  cat", " thecat "] + ["".join(c + " " * (rng.random() < 0.1) for c in " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) if c != " " or rng.random() < 0.7) for _ in range(120)] + ["žluťoučký kůň", "𝒳 y"]
+    for beams in (1, 5):
+        assert search.beam_search_many(model, texts, 1.2, 0.9, beams, 16) == [search.beam_search(model, t, 1.2, 0.9, beams) for t in texts]
+
+
 def test_long_lines_are_repaired_to_their_end():
     model = LM.Model({("\x02" * 3 + "the cat sat " * 50 + "\x03")[i : i + 4]: 50 for i in range(602)})
     text = ("thecat sat " * 260).strip()

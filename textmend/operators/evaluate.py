@@ -31,24 +31,39 @@ def summary(counts: DataFrame, by: list[str]) -> DataFrame:
     return with_scores(counts.groupBy(*by).agg(F.count("*").alias("n"), total("tp"), total("fp"), total("fn"), F.avg(F.col("is_correct").cast("double")).alias("sequence_accuracy")))
 
 
-def threshold_sweep(cases: DataFrame, score: str = "p", label: str = "label", digits: int = 3) -> DataFrame:
-    """(t, tp, fp, fn, f1) at each score that occurs, cut to its digits: cases of a score are added up first, so the window runs over
-    at most 10^digits rows."""
-    binned = cases.groupBy((F.floor(F.col(score) * 10**digits) / F.lit(float(10**digits))).alias("t")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+def threshold_sweep(cases: DataFrame, score: str = "p", label: str = "label", cnt: str = "cnt", digits: int | None = 3) -> DataFrame:
+    """(t, tp, fp, fn, f1) at each score that occurs, of counted cases: those of a score are added up first, so the window runs
+    over the distinct scores, with ``digits`` (cut, not rounded) at most 10^digits of them."""
+    t = F.floor(F.col(score) * 10**digits) / F.lit(float(10**digits)) if digits else F.col(score)
+    binned = cases.groupBy(t.alias("t")).agg(F.sum(F.col(label) * F.col(cnt)).alias("pos"), F.sum((1 - F.col(label)) * F.col(cnt)).alias("neg"))
     w = Window.orderBy(F.desc("t"))
     out = binned.select("t", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), (F.sum("pos").over(Window.partitionBy()) - F.sum("pos").over(w)).alias("fn"))
     return with_scores(out)
 
 
-def significance(bits: DataFrame, a: str, b: str) -> DataFrame:
+def significance(bits: DataFrame, a: str, b: str, chunk: int = 4096) -> DataFrame:
     """(n_a, n_b, p): exact paired randomisation test of two 0/1 columns. If each of the n sequences that only one method
-    has right is given to either with one half, the difference is at least as large as observed with probability p."""
-    n = bits.agg(F.sum(((F.col(a) == 1) & (F.col(b) == 0)).cast("long")).alias("n_a"), F.sum(((F.col(a) == 0) & (F.col(b) == 1)).cast("long")).alias("n_b")).withColumn("n", F.col("n_a") + F.col("n_b"))
-    k = n.select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
-    logs = F.sum(F.when(F.col("k") > 0, F.log("k")).otherwise(0.0)).over(Window.orderBy("k"))
-    k = k.withColumn("lf", logs).withColumn("lfn", F.max("lf").over(Window.partitionBy()))
-    back = k.select(F.col("k").alias("_j"), F.col("lf").alias("lf_rest"))
-    both = k.join(back, F.col("_j") == F.col("n") - F.col("k"))
-    far = F.abs(F.col("n") - 2 * F.col("k")) >= F.abs(F.col("n_a") - F.col("n_b"))
-    p = F.sum(F.when(far, F.exp(F.col("lfn") - F.col("lf") - F.col("lf_rest") - F.col("n") * F.log(F.lit(2.0)))).otherwise(0.0))
-    return both.groupBy("n_a", "n_b").agg(F.least(F.lit(1.0), p).alias("p"))
+    has right is given to either with one half, the difference is at least as large as observed with probability p. The
+    binomial tail is summed in chunks over all tasks; no window runs over its n terms: each chunk of factors gives a partial
+    sum of logarithms, of which there are n / chunk, and each term starts from its chunk's."""
+    n = bits.agg(F.sum(((F.col(a) == 1) & (F.col(b) == 0)).cast("long")).alias("n_a"), F.sum(((F.col(a) == 0) & (F.col(b) == 1)).cast("long")).alias("n_b"))
+    n = n.select(F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b")).withColumn("n", F.col("n_a") + F.col("n_b"))
+    first = lambda c: c * chunk  # noqa: E731 - a chunk's terms: log of binomial(n, k) for k from first(c)
+    parts = n.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / chunk))).alias("c"))
+    ratio_log = lambda k: F.log((F.col("n") - k + 1.0) / k)  # noqa: E731 - from binomial(n, k - 1) to binomial(n, k)
+    ks = F.sequence(F.greatest(first(F.col("c")), F.lit(1)), F.least(first(F.col("c")) + chunk - 1, F.col("n")))
+    terms = F.when(F.col("n") == 0, F.array().cast("array<double>")).otherwise(F.transform(ks, ratio_log))
+    parts = parts.withColumn("steps", terms).withColumn("own", F.aggregate("steps", F.lit(0.0), lambda s, x: s + x))
+    before = F.coalesce(F.sum("own").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = parts.select("c", before.alias("before"))  # n / chunk rows
+    full = parts.join(starts, "c")
+    begin = F.struct(F.col("before").alias("log"), F.greatest(first(F.col("c")), F.lit(1).cast("long")).alias("k"), F.lit(0.0).alias("p"))
+    mass = lambda log: F.exp(log - F.col("n") * F.log(F.lit(2.0)))
+    far = lambda k: F.abs(F.col("n") - 2 * k) >= F.abs(F.col("n_a") - F.col("n_b"))
+
+    def add(s, x):
+        log = s["log"] + x
+        return F.struct(log.alias("log"), (s["k"] + 1).alias("k"), (s["p"] + F.when(far(s["k"]), mass(log)).otherwise(0.0)).alias("p"))
+
+    tail = F.aggregate("steps", begin, add, lambda s: s["p"]) + F.when((F.col("c") == 0) & far(F.lit(0)), mass(F.lit(0.0))).otherwise(0.0)
+    return full.groupBy("n_a", "n_b").agg(F.least(F.lit(1.0), F.sum(tail)).alias("p"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from textmend.operators.language_model import END, ORDER, START
+from textmend.operators.language_model import ORDER, gap_grams
 
 #: Characters of a chunk: bounds what a task holds, not what is looked up.
 CHARACTERS = 1 << 18
@@ -81,13 +81,19 @@ def found(rows: DataFrame, text: str, keys: Callable[..., Iterable[str]], table:
     return wanted.join(table.select("key", "cnt"), "key").select("chunk", "key", "cnt")
 
 
-def repaired(rows: DataFrame, text: str, counts: DataFrame, make: Callable[[dict[str, int]], Callable[[str], str]], out: str = "predicted") -> DataFrame:
-    """rows without their chunk, with the text repaired by the function that ``make`` builds from the chunk's counts."""
+def each(function: Callable[[str], str]) -> Callable[[list[str]], list[str]]:
+    """A function of a text as one of several."""
+    return lambda texts: [function(t) for t in texts]
+
+
+def repaired(rows: DataFrame, text: str, counts: DataFrame, make: Callable[[dict[str, int]], Callable[[list[str]], list[str]]], out: str = "predicted") -> DataFrame:
+    """rows without their chunk, with the texts repaired by the function that ``make`` builds from the chunk's counts."""
     kept = [f for f in rows.schema.fields if f.name != "chunk"]
 
     def run(mine: pa.Table, found: pa.Table) -> pa.Table:
         function = make(counts_of(found))
-        done: dict[str | None, str | None] = {None: None} | {t: function(t) for t in texts_of(mine, text)}
+        texts = sorted(texts_of(mine, text))
+        done: dict[str | None, str | None] = {None: None} | dict(zip(texts, function(texts), strict=True))
         return mine.drop_columns(["chunk"]).append_column(out, pa.array([done[t] for t in mine.column(text).to_pylist()], pa.string()))
 
     return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, StructType([*kept, StructField(out, StringType())]))
@@ -147,28 +153,6 @@ def pairs_asked(spans: Callable[[str], Iterator[tuple[int, int]]]) -> Callable[.
     return keys
 
 
-def gap_grams(text: str) -> set[str]:
-    """Every gram that can occur while spaces of the text are put in and taken out: between two characters none, one, or up
-    to as many spaces as there were."""
-    out: set[str] = set()
-    states, had = {START * (ORDER - 1)}, 0
-    for c in text + END:
-        if c == " ":
-            had += 1
-            continue
-        after: set[str] = set()
-        for context in states:
-            for _ in range(max(had, 1)):
-                out.add(context + c)
-                after.add(context[1:] + c)
-                out.add(context + " ")
-                context = context[1:] + " "
-            out.add(context + c)
-            after.add(context[1:] + c)
-        states, had = after, 0
-    return out
-
-
 def grams_asked(texts: set[str]) -> set[str]:
     """Keys of the counts that the probabilities of the texts' grams are made of: =gram and <context, of all orders."""
     grams: set[str] = set()

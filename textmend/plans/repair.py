@@ -11,6 +11,7 @@ from textmend.functions.rng import uniform_sql
 from textmend.operators import evaluate as E
 from textmend.operators import labeling as L
 from textmend.operators import rules as R
+from textmend.operators.lineage import checkpoint
 from textmend.plans.corpus import LINES, documents, lines
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -122,19 +123,28 @@ def rule_postprocess(spark, sf_dir):
 
 CONTEXT = "substr(m, greatest(k - 2, 1), least(k, 3)) || '|' || substr(m, k + 1, 2)"
 GAP_ROWS = f"gl as (select *, {GAPS.format('text')} as o, {GAPS.format('corrupt')} as c, replace(text, ' ', '') as m from noise), gk as (select seq_id, lang, m, o, c, unnest(range(1, length(m))) as k from gl), gr as (select seq_id, lang, k, {CONTEXT} as context, o[k + 1] as o, c[k + 1] as gap from gk)"
-MODEL = "model as (select context, count(*) as n, (sum((o > 0)::int) + 0.2) / (count(*) + 1.0) as p_space from gr group by 1)"
+MODEL = "model as (select context, count(*) as n, cast(sum((o > 0)::int) as bigint) as n_space, (sum((o > 0)::int) + 0.2) / (count(*) + 1.0) as p_space from gr group by 1)"
 LABELED = f"with {LINES}, {NOISE}, {GAP_ROWS}, {MODEL}, lab as (select gr.*, p_space as p, case when gap = 0 and p_space >= 0.9 then 1 when gap > 0 and 1 - p_space >= 0.9 then 0 else gap end as new from gr join model using (context))"
 
 
 def labelled(spark, sf_dir) -> DataFrame:
+    """Counted gaps (lang, context, o, gap, cnt) with p and new. The model comes from the same counts: a corrupt text has the
+    characters, and so the contexts, of the true one."""
+    counted = checkpoint(L.gap_counts(noisy(spark, sf_dir), "correct", "corrupt", ["lang"]))
+    return L.predicted(counted, L.fit_counts(counted), 0.9, 0.9)
+
+
+def labelled_gaps(spark, sf_dir) -> DataFrame:
+    """A row for each gap, for what is asked of single sequences."""
     rows = noisy(spark, sf_dir)
     gaps = L.gap_rows(rows, F.col("corrupt"), ["seq_id", "lang"], {"o": SP.gaps(F.col("correct"))})
     return L.predicted(gaps, L.fit(rows, "correct"), 0.9, 0.9)
 
 
-@query(f"with {LINES}, {NOISE}, {GAP_ROWS}, {MODEL} select context, n, round(p_space, 6) as p_space from model")
+@query(f"with {LINES}, {NOISE}, {GAP_ROWS}, {MODEL} select context, n, n_space from model")
 def labeler_probabilities(spark, sf_dir):
-    return rounded(L.fit(lines(spark, sf_dir)))
+    """What the labeler's probabilities are made of, as whole numbers."""
+    return L.fit(lines(spark, sf_dir)).select("context", "n", "n_space")
 
 
 @query(f"{LABELED}, t as (select lang, sum((o > gap and new > gap or o < gap and new < gap)::int) as tp, sum((new > gap and o <= gap or new < gap and o >= gap)::int) as fp, sum((o > gap and new <= gap or o < gap and new >= gap)::int) as fn from lab group by 1) select lang, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, {SCORES} from t")
@@ -142,7 +152,7 @@ def labeling_repair(spark, sf_dir):
     """Gaps with a likely space get one, unlikely spaces go: scores by language."""
     up = (F.col("o") > F.col("gap"), F.col("new") > F.col("gap"))
     down = (F.col("o") < F.col("gap"), F.col("new") < F.col("gap"))
-    count = lambda c: F.sum(c.cast("long"))
+    count = lambda c: F.sum(F.when(c, F.col("cnt")).otherwise(0))
     out = labelled(spark, sf_dir).groupBy("lang").agg(
         count((up[0] & up[1]) | (down[0] & down[1])).alias("tp"), count((up[1] & ~up[0]) | (down[1] & ~down[0])).alias("fp"), count((up[0] & ~up[1]) | (down[0] & ~down[1])).alias("fn"))
     return rounded(E.with_scores(out))
@@ -151,7 +161,7 @@ def labeling_repair(spark, sf_dir):
 @query(f"{LABELED}, b as (select floor(p * 1000) / 1000.0 as t, sum((o > 0)::int) as pos, sum((o = 0)::int) as neg from lab where gap = 0 group by 1), w as (select t, cast(sum(pos) over (order by t desc) as bigint) as tp, cast(sum(neg) over (order by t desc) as bigint) as fp, cast(sum(pos) over () - sum(pos) over (order by t desc) as bigint) as fn from b) select t, tp, fp, fn, {SCORES} from w")
 def threshold_sweep(spark, sf_dir):
     """F1 of putting spaces in, at each threshold."""
-    cases = labelled(spark, sf_dir).where("gap = 0").select("p", (F.col("o") > 0).cast("long").alias("label"))
+    cases = labelled(spark, sf_dir).where("gap = 0").select("p", (F.col("o") > 0).cast("long").alias("label"), "cnt")
     return rounded(E.threshold_sweep(cases))
 
 
@@ -159,7 +169,7 @@ def threshold_sweep(spark, sf_dir):
 def threshold_grid_accuracy(spark, sf_dir):
     """Sequences that a threshold repairs rightly: those whose interval of right thresholds holds it. Equal intervals are
     added up before they meet the grid."""
-    cases = labelled(spark, sf_dir).where("gap = 0").groupBy("seq_id").agg(F.coalesce(F.max(F.when(F.col("o") == 0, F.floor(F.col("p") * 100))), F.lit(-1)).alias("lo"), F.coalesce(F.min(F.when(F.col("o") > 0, F.floor(F.col("p") * 100))), F.lit(200)).alias("hi"))
+    cases = labelled_gaps(spark, sf_dir).where("gap = 0").groupBy("seq_id").agg(F.coalesce(F.max(F.when(F.col("o") == 0, F.floor(F.col("p") * 100))), F.lit(-1)).alias("lo"), F.coalesce(F.min(F.when(F.col("o") > 0, F.floor(F.col("p") * 100))), F.lit(200)).alias("hi"))
     intervals = cases.groupBy("lo", "hi").count()  # at most 103 * 103
     grid = intervals.select("*", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("i")).withColumn("t", F.col("i") / 100.0)
     return grid.groupBy("t").agg(F.sum(F.when((F.col("lo") < F.col("i")) & (F.col("i") <= F.col("hi")), F.col("count")).otherwise(0)).alias("n_right"))
@@ -187,12 +197,13 @@ def best_other(spark, sf_dir):
     return rounded(r.join(top, "lang").select("lang", "approach", "acc", other.alias("best_other")))
 
 
-@query(f"{BASE}, b as (select count(*) filter (where r and not z) as n_a, count(*) filter (where z and not r) as n_b from (select is_correct as r, corrupt = text as z from counts join noise using (seq_id))), k as (select n_a, n_b, n_a + n_b as n, unnest(range(0, n_a + n_b + 1)) as k from b) select n_a, n_b, round(least(1.0, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))), 6) as p from k where abs(n - 2 * k) >= abs(n_a - n_b) group by 1, 2")
+@query(f"{BASE}, b as (select count(*) filter (where r and not z) as n_a, count(*) filter (where z and not r) as n_b from (select is_correct as r, corrupt = text as z from counts join noise using (seq_id))), k as (select n_a, n_b, n_a + n_b as n, unnest(range(0, n_a + n_b + 1)) as k from b) select n_a, n_b, round(least(1.0, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))), 9) as p from k where abs(n - 2 * k) >= abs(n_a - n_b) group by 1, 2")
 def significance_exact(spark, sf_dir):
     """Are the rules better than doing nothing?"""
     rows = noisy(spark, sf_dir)
     c = E.error_counts(rows, ["seq_id", "correct", "corrupt"])
-    return rounded(E.significance(c.select(F.col("is_correct").cast("int").alias("a"), (F.col("corrupt") == F.col("correct")).cast("int").alias("b")), "a", "b"))
+    test = E.significance(c.select(F.col("is_correct").cast("int").alias("a"), (F.col("corrupt") == F.col("correct")).cast("int").alias("b")), "a", "b")
+    return test.withColumn("p", F.round("p", 9))
 
 
 @query(f"{BASE}, r as (select seq_id, (tp + fn) / length(text)::double as rate from counts join lines using (seq_id)) select case when rate = 0 then -1 else cast(floor(rate / 0.02) as bigint) end as bin, count(*) as n from r group by 1")

@@ -120,7 +120,7 @@ def by_words(rows: DataFrame, documents: DataFrame, text: str, function, spans,
     def make(found: dict[str, int]):
         u = {k: n for k, n in found.items() if " " not in k}
         b = {tuple(k.split(" ")): n for k, n in found.items() if " " in k}
-        return lambda t: function(u, b, total, t, *more)
+        return L.each(lambda t: function(u, b, total, t, *more))
 
     return L.repaired(rows, text, counts, make)
 
@@ -137,17 +137,17 @@ def with_words(spark, sf_dir, function, spans=lambda longest: L.word_spans(20),
 def beam_repair(spark, sf_dir):
     """Beam search under the character model with the one set of penalties for all benchmarks."""
     p_insert, p_delete = R.PENALTIES["ONE"][""]
-    return with_model(spark, sf_dir, lambda m: partial(R.beam_search, m, p_insert=p_insert, p_delete=p_delete))
+    return with_model(spark, sf_dir, lambda m: partial(R.beam_search_many, m, p_insert=p_insert, p_delete=p_delete))
 
 
 @query()
 def greedy_repair(spark, sf_dir):
-    return with_model(spark, sf_dir, lambda m: partial(R.greedy, m))
+    return with_model(spark, sf_dir, lambda m: L.each(partial(R.greedy, m)))
 
 
 @query()
 def iterative_window_repair(spark, sf_dir):
-    return with_model(spark, sf_dir, lambda m: partial(R.iterative_window, m))
+    return with_model(spark, sf_dir, lambda m: L.each(partial(R.iterative_window, m)))
 
 
 @query()
@@ -185,7 +185,7 @@ def edits(fixed: DataFrame) -> DataFrame:
 def best_first_repair(spark, sf_dir):
     """Best-first search over single changes of spaces."""
     rows = noised(spark, sf_dir, lambda t, i: SP.corrupt(t, i, 0.03, 0.15, 31))
-    return edits(by_grams(rows, LM.counts(lines(spark, sf_dir)), "corrupt", lambda m: partial(R.best_first, m)))
+    return edits(by_grams(rows, LM.counts(lines(spark, sf_dir)), "corrupt", lambda m: L.each(partial(R.best_first, m))))
 
 
 @query()
