@@ -67,6 +67,14 @@ def test_beams_of_many_texts_equal_those_of_one():
         assert search.beam_search_many(model, texts, 1.2, 0.9, beams, 16) == [search.beam_search(model, t, 1.2, 0.9, beams) for t in texts]
 
 
+def test_gap_grams_of_many_texts_equal_those_of_each():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab é𝒳 ") for _ in range(rng.randrange(12))) for _ in range(300)]
+    for some in (texts, [t.replace("  ", " ") for t in texts], [], *[[t] for t in texts[:60]]):
+        number, bits = LM.numbered(some)
+        assert set(LM.spelled(LM.gap_gram_codes(some, number, bits), number, bits)) == set().union(*map(LM.gap_grams, some))
+
+
 def test_long_lines_are_repaired_to_their_end():
     model = LM.Model({("\x02" * 3 + "the cat sat " * 50 + "\x03")[i : i + 4]: 50 for i in range(602)})
     text = ("thecat sat " * 260).strip()

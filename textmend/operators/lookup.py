@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from textmend.operators.language_model import ORDER, gap_grams
+from textmend.operators.language_model import ORDER, gap_gram_codes, numbered, spelled
 
 #: Characters of a chunk: bounds what a task holds, not what is looked up.
 CHARACTERS = 1 << 18
@@ -155,9 +155,8 @@ def pairs_asked(spans: Callable[[str], Iterator[tuple[int, int]]]) -> Callable[.
 
 def grams_asked(texts: set[str]) -> set[str]:
     """Keys of the counts that the probabilities of the texts' grams are made of: =gram and <context, of all orders."""
-    grams: set[str] = set()
-    for text in texts:
-        grams |= gap_grams(text)
+    number, bits = numbered(list(texts))
+    grams = spelled(gap_gram_codes(list(texts), number, bits), number, bits)
     parts = {gram[k:] for gram in grams for k in range(ORDER)}
     return {"=" + p for p in parts} | {"<" + p[:-1] for p in parts}
 
