@@ -51,3 +51,13 @@ def test_wrapped_texts(spark):
     got = scanned(spark, texts)
     assert [g[1] for g in got] == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-or-later", "GPL-2.0-or-later", "Apache-2.0"] * 5
     assert not any(g[2] for g in got)
+
+
+def test_whole_licences_and_unlisted_tags(spark):
+    isc = "ISC License\n\nCopyright (c) 2020 Jo Doe\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANYTHING.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint main() {}"
+    lgpl = "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.\n"
+    tags = ["AGPL-3.0-or-later", "LGPL-3.0-only", "EPL-2.0", "BSD-2-Clause", "Unlicense", "Zlib", "BSL-1.0", "ISC", "MPL-2.0", "GPL-2.0-or-later"]
+    got = scanned(spark, [isc, mpl, lgpl, *[f"// SPDX-License-Identifier: {t}\n" for t in tags], "// SPDX-License-Identifier: Foo-9.9\ncode", "word " * 200_000 + "\nLicensed under the ISC License.\n"])
+    assert [g[1] for g in got] == ["ISC", "MPL-2.0", "LGPL-2.1-or-later", *tags, "", "ISC"]
+    assert got[-2][2] == 1 and got[1][2] == 0

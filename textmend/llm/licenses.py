@@ -35,6 +35,28 @@ SENTENCES = {
     "GPL2_REF": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GNU General Public License, version 2."],
     "GPL3_LATER": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "GPL2_LATER": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL21_LATER": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL3_LATER": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL3_LATER": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL3_LATER_REF": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL2_LATER_REF": ["SPDX-License-Identifier: GPL-2.0-or-later"],
+    "LGPL21_REF": ["SPDX-License-Identifier: LGPL-2.1-only", "Licensed under the GNU Lesser General Public License, version 2.1."],
+    "LGPL21_LATER_REF": ["SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL3_REF": ["SPDX-License-Identifier: LGPL-3.0-only", "Licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL3_LATER_REF": ["SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "AGPL3_REF": ["SPDX-License-Identifier: AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3."],
+    "AGPL3_LATER_REF": ["SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "MPL2_REF": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."],
+    "MPL2_COPY": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "ISC_GRANT": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "ISC_ASIS": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    "ISC_REF": ["SPDX-License-Identifier: ISC", "Licensed under the ISC License."],
+    "EPL2_REF": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "SPDX-License-Identifier: EPL-2.0"],
+    "EPL1_REF": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html", "SPDX-License-Identifier: EPL-1.0"],
+    "UNLICENSE_GRANT": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "ZLIB_GRANT": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "SPDX-License-Identifier: Zlib"],
+    "BOOST_REF": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "BSD2_REF": ["SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License."],
     "GPL_HOPE": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "BSD_GRANT": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "BSD_SOURCE": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
@@ -51,10 +73,12 @@ SENTENCES = {
 RULES = [
     ("MIT", "MIT_GRANT (MIT_NOTICE )?(AS_IS )?"), ("Apache-2.0", "APACHE2_REF APACHE2_COMPLY (APACHE2_COPY )?(APACHE2_ASIS )?"), ("BSD-3-Clause", "BSD_GRANT BSD_SOURCE BSD_BINARY BSD_NAME "),
     ("BSD-2-Clause", "BSD_GRANT BSD_SOURCE BSD_BINARY "), ("GPL-3.0-or-later", "GPL3_LATER (GPL_HOPE )?"), ("GPL-2.0-or-later", "GPL2_LATER (GPL_HOPE )?"), ("MIT", "MIT_REF "), ("Apache-2.0", "APACHE2_REF "),
-    ("GPL-3.0-only", "GPL3_REF "), ("GPL-2.0-only", "GPL2_REF "), ("BSD-3-Clause", "BSD3_REF "), ("CC-BY-NC-4.0", "CC_BY_NC_4_REF "), ("CC-BY-SA-4.0", "CC_BY_SA_4_REF "), ("CC-BY-4.0", "CC_BY_4_REF "),
+    ("GPL-3.0-only", "GPL3_REF "), ("GPL-2.0-only", "GPL2_REF "), ("BSD-3-Clause", "BSD3_REF "), ("BSD-2-Clause", "BSD2_REF "), ("LGPL-2.1-or-later", "(LGPL21_LATER|LGPL21_LATER_REF) "), ("LGPL-3.0-or-later", "(LGPL3_LATER|LGPL3_LATER_REF) "),
+    ("AGPL-3.0-or-later", "(AGPL3_LATER (GPL_HOPE )?|AGPL3_LATER_REF )"), ("GPL-3.0-or-later", "GPL3_LATER_REF "), ("GPL-2.0-or-later", "GPL2_LATER_REF "), ("LGPL-2.1-only", "LGPL21_REF "), ("LGPL-3.0-only", "LGPL3_REF "), ("AGPL-3.0-only", "AGPL3_REF "),
+    ("MPL-2.0", "MPL2_REF (MPL2_COPY )?"), ("ISC", "(ISC_GRANT (ISC_ASIS )?|ISC_REF )"), ("EPL-2.0", "EPL2_REF "), ("EPL-1.0", "EPL1_REF "), ("Unlicense", "UNLICENSE_GRANT "), ("Zlib", "ZLIB_GRANT "), ("BSL-1.0", "BOOST_REF "), ("CC-BY-NC-4.0", "CC_BY_NC_4_REF "), ("CC-BY-SA-4.0", "CC_BY_SA_4_REF "), ("CC-BY-4.0", "CC_BY_4_REF "),
     ("CC0-1.0", "CC0_REF "), ("Proprietary", "COPYRIGHT (ALL_RIGHTS )"),
 ]
-HINT = r"(?i)licen[sc]|copyright|permission is hereby|redistribution|warrant|creative commons|\bcc (by|0)|rights reserved|public domain|free software"
+HINT = r"(?i)licen[sc]|copyright|permission is hereby|permission is granted|hereby granted|\bmpl\b|\bspdx|redistribution|warrant|creative commons|\bcc (by|0)|rights reserved|public domain|free software"
 CUT, ABOUT = r"[.!?;:]+\s+", r"licen[sc]|copyright|warrant"
 #: What stands for the end of a sentence and for the end of a line.
 END, LINE = "\x01", "\x02"
