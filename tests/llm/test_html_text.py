@@ -50,12 +50,39 @@ def test_classes_equal_brute_force(spark):
             classes.setdefault(tuple(v), []).append(token)
     want = set()
     for tokens in classes.values():
-        texts = [t for t in tokens if t[0] not in "<>"]
-        if len(tokens) >= ht.MIN_CLASS and len(tokens) - len(texts) >= 2:
-            want |= set(map(ht.hashed, texts))
+        texts = [t for t in tokens if t % 2]
+        if len(tokens) >= ht.MIN_CLASS and texts and len(tokens) - len(texts) >= 2:
+            page = min((p for p in parsed if tokens[0] in p.tokens), key=lambda p: ht.hashed("\n".join(b[1] for b in p.blocks)))
+            want.add(tuple(sorted(tokens, key=page.tokens.index)))
     df = spark.createDataFrame([(i, "http://h.example", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(5)
     got = ht.templates(df).collect()
-    assert len(got) == 1 and set(got[0].tokens) == want and want
+    assert len(got) == 1 and {tuple(c) for c in got[0].classes} == want and want
+
+
+def test_names_of_containers(spark):
+    keep = ['<div class="page with-sidebar"><p>Text</p></div>', '<div id="side-by-side">Text</div>', '<article><section class="search-methods">Text</section></article>', '<article><div class="related-work"><p>Text</p></div></article>', '<div class="menu-planning">Text</div>']
+    drop = ['<div class="site-nav">x</div>', '<div id="leftSidebar">x</div>', '<div class="post-comments">x</div>', '<div class="related-posts">x</div>', '<div class="cookie-notice box">x</div>', '<div id="comment-42">x</div>']
+    got = extracted(spark, [(i, f"http://h{i}.example", x, "", "") for i, x in enumerate(keep + drop)])
+    assert [got[i][0] for i in range(len(got))] == ["Text"] * len(keep) + [""] * len(drop)
+
+
+def test_classes_are_put_in_order_and_nested():
+    page = ht.Page("<body><div>One</div><div>Two</div><h2>A</h2><p>own</p><h2>B</h2><div>Three</div></body>")
+    a, b, c, x, y = (next(t for t, text, *_ in page.blocks if text == w) for w in ("One", "Two", "Three", "A", "B"))
+    assert page.template([[a, b, c], [x, y]]) == {a, b, c, x, y}  # the second within a gap of the first
+    assert page.template([[c, a]]) == set()  # not the host's order
+    assert page.template([[a, b, c], [b, x]]) in ({a, b, c}, {a, b, c, x})
+    assert page.template([[a, x, c], [b, y]]) == {a, x, c}  # crossing: the narrower one is dropped
+
+
+def test_deep_pages_in_bounded_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    page = ht.Page("<div class=a>" * 200_000 + "deep" + "</b>" * 1000 + "</div>" * 200_000 + "<p>after")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b[1] for b in page.blocks] == ["deep", "after"] and peak < 200 << 20
 
 
 def test_given_pages(spark):
