@@ -59,7 +59,7 @@ def error_counts(true: Column, corrupt: Column, predicted: Column) -> Column:
     return let(odd, lambda g: F.struct(*[total(g, f).alias(n) for n, f in parts.items()]))
 
 
-def corrupt(text: Column, row: Column, p_insert: float, p_delete: float, seed: int) -> Column:
+def corrupt(text: Column, row: Column, p_insert: float | Column, p_delete: float | Column, seed: int) -> Column:
     """Each space goes with p_delete; before each character whose neighbour before it is no space, one comes with p_insert."""
     def noise(m: Column) -> Column:
         chars = m["chars"]

@@ -78,6 +78,55 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
 
 
+#: Abbreviations that end no sentence, with the space behind them.
+ABBREVIATED = r"(\b(?:e\.g|i\.e|et al|al|cf|vs|Fig|fig|Eq|No|no|Dr|Mr|Mrs|Ms|St|approx)\.) "
+
+
+def sentences(text: Column) -> Column:
+    """A line's sentences: cut behind . ! ? and a space, but not behind abbreviations; ends trimmed."""
+    held = F.regexp_replace(text, ABBREVIATED, "$1\x01")
+    return F.transform(F.split(F.regexp_replace(held, r"([.!?]) ", "$1\n"), "\n"), lambda s: F.trim(F.translate(s, "\x01", " ")))
+
+
+def editable_runs(text: Column) -> Column:
+    """Words that single spaces part, as one run."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?: [\p{L}\p{N}]+)*"), F.lit(0))
+
+
+def character_set_tokens(text: Column) -> Column:
+    """Tokens of one set of characters (letters, digits, all else), with the space behind them."""
+    return F.regexp_extract_all(text, F.lit(r"(?:[A-Za-z]+|[0-9]+|[^A-Za-z0-9 ]+) ?| "), F.lit(0))
+
+
+def stripped(token: Column) -> dict[str, Column]:
+    """prefix and suffix of marks, the word between them, and whether six tenths of it are letters."""
+    part = lambda k: F.regexp_extract(token, r"(?s)^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", k)
+    word = part(2)
+    letters = F.length(F.regexp_replace(word, r"[^\p{L}]", ""))
+    return {"prefix": part(1), "word": word, "suffix": part(3), "is_word": (letters >= 0.6 * F.length(word)) & (word != "")}
+
+
+def without_end_hyphens(token: Column) -> Column:
+    """Hyphens at the end go; of a token of hyphens one stays."""
+    rest = F.regexp_replace(token, "-+$", "")
+    return F.when(rest == "", F.substring(token, 1, 1)).otherwise(rest)
+
+
+def encoded(text: Column, known: Column) -> Column:
+    """array<bigint>: place of each character in the array of known ones, from 3 on; 2 is unknown, 1 and 0 are begin and end."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.array_position(known, c) + 2)
+
+
+def decoded(codes: Column, known: Column) -> Column:
+    return F.array_join(F.transform(codes, lambda x: F.coalesce(F.get(known, (x - 3).cast("int")), F.lit("?"))), "")
+
+
+def padded(codes: Column, size: int, with_: int, front: bool = False) -> Column:
+    """Cut or filled to a size: the head, filled behind, or in front the tail, filled before."""
+    fill = F.array_repeat(F.lit(with_).cast("long"), size)
+    return F.slice(F.concat(fill, codes), -size, size) if front else F.slice(F.concat(codes, fill), 1, size)
+
+
 def lines(documents: DataFrame) -> DataFrame:
     """(seq_id, doc_id, lang, source, text): the non-empty lines; seq_id is doc_id * 10^6 + line."""
     split = documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))

@@ -26,18 +26,19 @@ def _pick(u: Column, n) -> Column:
     return F.floor(u * n).cast("int")
 
 
-def _letter(u: Column) -> Column:
-    return F.substring(F.lit(LETTERS), _pick(u, len(LETTERS)) + 1, F.lit(1))
+def _letter(u: Column, letters: str = LETTERS) -> Column:
+    return F.substring(F.lit(letters), _pick(u, len(letters)) + 1, F.lit(1))
 
 
-def typos(text: Column, row: Column, p: float, seed: int) -> Column:
-    """With p, one edit in a token of two or more letters only: a letter put in, taken out, replaced or exchanged with the next."""
+def typos(text: Column, row: Column, p: float, seed: int, letters: str = LETTERS) -> Column:
+    """With p, one edit in a token of two or more letters only: a letter put in, taken out, replaced or exchanged with the next.
+    letters: what is put in, marks as well where they are given."""
 
     def one(t: Column, draw) -> Column:
         at = _pick(draw(2), F.length(t) - 1)
         head, here, rest = F.substring(t, F.lit(1), at), F.substring(t, at + 1, F.lit(1)), F.substring(t, at + 2, F.length(t))
         kind = _pick(draw(1), 4)
-        edited = F.when(kind == 0, F.concat(head, _letter(draw(3)), here, rest)).when(kind == 1, F.concat(head, rest)).when(kind == 2, F.concat(head, _letter(draw(3)), rest)).otherwise(
+        edited = F.when(kind == 0, F.concat(head, _letter(draw(3), letters), here, rest)).when(kind == 1, F.concat(head, rest)).when(kind == 2, F.concat(head, _letter(draw(3), letters), rest)).otherwise(
             F.concat(head, F.substring(rest, 1, 1), here, F.substring(rest, F.lit(2), F.length(rest))))
         return F.when((F.length(t) > 1) & t.rlike(r"^\p{L}+$") & (draw(0) < p), edited).otherwise(t)
 
@@ -68,6 +69,19 @@ def ocr_errors(text: Column, row: Column, p: float, seed: int) -> Column:
     return per_token(text, row, seed, one)
 
 
+def characters(text: Column, row: Column, p: float, seed: int) -> Column:
+    """Each character goes with p / 2, or gets a letter before it with p / 2."""
+
+    def all_of(m: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            u = at_place(m["seed"], i.cast("long"))
+            return F.when(u < p / 2, "").when(u < p, F.concat(_letter(at_place(m["other"], i.cast("long"))), c)).otherwise(c)
+
+        return F.array_join(F.transform(F.split(text, ""), one), "")
+
+    return let(F.struct(row_seed(seed, row).alias("seed"), row_seed(seed + 1, row).alias("other")), all_of)
+
+
 def mixed(text: Column, row: Column, p_hyphen: float, p_ocr: float, p_typo: float, share_ocr: float, seed: int) -> Column:
     """Hyphens first, then either OCR errors or typos in the whole row."""
     hyphened = hyphens(text, row, p_hyphen, seed)

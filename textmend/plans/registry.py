@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmend.plans import corpus, repair, search
+from textmend.plans import corpus, preparation, repair, search
 
-QUERIES = {**corpus.QUERIES, **repair.QUERIES, **search.QUERIES}
-ORACLE_SQL = {**corpus.ORACLE_SQL, **repair.ORACLE_SQL, **search.ORACLE_SQL}
+QUERIES = {**corpus.QUERIES, **repair.QUERIES, **search.QUERIES, **preparation.QUERIES}
+ORACLE_SQL = {**corpus.ORACLE_SQL, **repair.ORACLE_SQL, **search.ORACLE_SQL, **preparation.ORACLE_SQL}

@@ -71,21 +71,6 @@ def exact_edits(a: Column, b: Column) -> Column:
     return F.coalesce(*near, F.levenshtein(a, b)).cast("long")
 
 
-def noise_query(name: str, make):
-    def run(spark, sf_dir) -> DataFrame:
-        rows = lines(spark, sf_dir).select("seq_id", "text", make(F.col("text"), F.col("seq_id")).alias("noisy"))
-        return rows.select("seq_id", F.md5("noisy").alias("noisy_md5"), exact_edits(F.col("text"), F.col("noisy")).alias("edits"))
-
-    run.__name__ = name
-    QUERIES[name] = run
-
-
-noise_query("typo_noise", lambda t, i: N.typos(t, i, 0.1, 21))
-noise_query("hyphen_noise", lambda t, i: N.hyphens(t, i, 0.1, 22))
-noise_query("ocr_noise", lambda t, i: N.ocr_errors(t, i, 0.1, 23))
-noise_query("mixed_noise", lambda t, i: N.mixed(t, i, 0.0114, 0.1, 0.1, 0.5, 24))
-
-
 def corrupted(spark, sf_dir) -> DataFrame:
     """The lines with noise, in chunks, worked out once."""
     rows = noisy(spark, sf_dir).select("seq_id", "lang", "correct", "corrupt")
