@@ -46,6 +46,22 @@ def corruptions(true: Column, corrupt: Column) -> Column:
     return let(running_sums(F.transform(corrupt, lambda c: c + 1)), placed)
 
 
+def true_places(true: Column, corrupt: Column) -> Column:
+    """array<struct<position, type>>, one for each gap that differs, in places of the true text. true, corrupt: gaps."""
+
+    def placed(ends: Column) -> Column:
+        rows = F.zip_with(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), ends, lambda g, e: F.struct(
+            (e - g["o"] - 1 + F.least(g["o"], g["c"])).cast("int").alias("position"), F.when(g["o"] > g["c"], "DELETION").when(g["o"] < g["c"], "INSERTION").alias("type")))
+        return F.filter(rows, lambda r: r["type"].isNotNull())
+
+    return let(running_sums(F.transform(true, lambda o: o + 1)), placed)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Spaces to put in and take out to get from one text to the other, given their gaps."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x).cast("long")
+
+
 def error_counts(true: Column, corrupt: Column, predicted: Column) -> Column:
     """Struct of tp, fp and fn of the predicted repairs, by type, each a sum over gaps. All three: gaps."""
     three = F.zip_with(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), predicted, lambda g, p: F.struct(g["o"].alias("o"), g["c"].alias("c"), p.alias("p")))

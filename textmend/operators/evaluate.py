@@ -31,13 +31,14 @@ def summary(counts: DataFrame, by: list[str]) -> DataFrame:
     return with_scores(counts.groupBy(*by).agg(F.count("*").alias("n"), total("tp"), total("fp"), total("fn"), F.avg(F.col("is_correct").cast("double")).alias("sequence_accuracy")))
 
 
-def threshold_sweep(cases: DataFrame, score: str = "p", label: str = "label", cnt: str = "cnt", digits: int | None = 3) -> DataFrame:
+def threshold_sweep(cases: DataFrame, score: str = "p", label: str = "label", cnt: str = "cnt", digits: int | None = 3, by: list[str] | None = None) -> DataFrame:
     """(t, tp, fp, fn, f1) at each score that occurs, of counted cases: those of a score are added up first, so the window runs
-    over the distinct scores, with ``digits`` (cut, not rounded) at most 10^digits of them."""
+    over the distinct scores, with ``digits`` (cut, not rounded) at most 10^digits of them. by: a sweep for each group."""
+    by = by or []
     t = F.floor(F.col(score) * 10**digits) / F.lit(float(10**digits)) if digits else F.col(score)
-    binned = cases.groupBy(t.alias("t")).agg(F.sum(F.col(label) * F.col(cnt)).alias("pos"), F.sum((1 - F.col(label)) * F.col(cnt)).alias("neg"))
-    w = Window.orderBy(F.desc("t"))
-    out = binned.select("t", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), (F.sum("pos").over(Window.partitionBy()) - F.sum("pos").over(w)).alias("fn"))
+    binned = cases.groupBy(*by, t.alias("t")).agg(F.sum(F.col(label) * F.col(cnt)).alias("pos"), F.sum((1 - F.col(label)) * F.col(cnt)).alias("neg"))
+    w = Window.partitionBy(*by).orderBy(F.desc("t"))
+    out = binned.select(*by, "t", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), (F.sum("pos").over(Window.partitionBy(*by)) - F.sum("pos").over(w)).alias("fn"))
     return with_scores(out)
 
 
@@ -67,3 +68,42 @@ def significance(bits: DataFrame, a: str, b: str, chunk: int = 4096) -> DataFram
 
     tail = F.aggregate("steps", begin, add, lambda s: s["p"]) + F.when((F.col("c") == 0) & far(F.lit(0)), mass(F.lit(0.0))).otherwise(0.0)
     return full.groupBy("n_a", "n_b").agg(F.least(F.lit(1.0), F.sum(tail)).alias("p"))
+
+
+SMOOTHING = 1e-6
+
+
+def smoothed_summary(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Scores with smoothed denominators, 1 where there is nothing to find and nothing found: means of the sequences' scores
+    (macro), and those of their sums (micro)."""
+    tp, fp, fn = (F.col(f"{k}_del") + F.col(f"{k}_ins") for k in ("tp", "fp", "fn"))
+    share = lambda a, b: (a + SMOOTHING) / (a + b + SMOOTHING)
+    nothing = tp + fp + fn == 0
+    rows = counts.select(*by, tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.when(nothing, 1.0).otherwise(share(tp, fp)).alias("p"), F.when(nothing, 1.0).otherwise(share(tp, fn)).alias("r"))
+    f1 = lambda p, r: 2 * p * r / (p + r)
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg(f1(F.col("p"), F.col("r"))).alias("macro_f1"),
+                                share(F.sum("tp"), F.sum("fp")).alias("micro_precision"), share(F.sum("tp"), F.sum("fn")).alias("micro_recall"))
+    return out.withColumn("micro_f1", f1(F.col("micro_precision"), F.col("micro_recall")))
+
+
+def relative_improvement(baseline: Column, improved: Column) -> Column:
+    return 1 - (1 - improved) / (1 - baseline)
+
+
+def relative_log_improvement(baseline: Column, improved: Column, epsilon: float = 1e-6) -> Column:
+    return 1 - F.log(improved + epsilon) / F.log(baseline + epsilon)
+
+
+def fitted_distribution(rows: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """(by, shape, scale, pareto): a gamma distribution by mean and variance, a Pareto exponent by the mean logarithm."""
+    mean, var = F.avg(x), F.var_samp(x)
+    return rows.groupBy(*by).agg((mean * mean / var).alias("shape"), (var / mean).alias("scale"), (1 / F.avg(F.log(x))).alias("pareto"))
+
+
+def without_inverse_pairs(rows: DataFrame, kinds: str = "kinds") -> DataFrame:
+    """(place, type) of the repairs of each row: kinds has 1 for a deletion's repair, -1 for an insertion's, 0 for none at each
+    place. A deletion's goes if the place before has an insertion's, and that one with it."""
+    k = F.col(kinds)
+    left = F.transform(k, lambda x, i: F.when((x == 1) & ((i == 0) | (F.get(k, i - 1) != -1)), F.struct(i.alias("place"), F.lit("DELETION").alias("type"))).when(
+        (x == -1) & (F.coalesce(F.get(k, i + 1), F.lit(0)) != 1), F.struct(i.alias("place"), F.lit("INSERTION").alias("type"))))
+    return rows.select(F.inline(F.filter(left, lambda x: x.isNotNull())))

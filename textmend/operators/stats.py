@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmend.functions import text as T
+from textmend.functions.arrays import running_sums
 
 
 def character_frequencies(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -99,6 +100,24 @@ def matched_lines(truth: DataFrame, inputs: DataFrame, key=T.remove_spaces) -> D
     return inputs.select(key(F.col("text")).alias("key"), F.col("id").alias("input_id")).join(t, "key").select("input_id", "true_id")
 
 
+def matched_spans(truth: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(true_id, seq_id, last_seq_id): for each true line (id, text) the first run of a document's lines (doc_id, seq_id, text)
+    that is equal to it but for spaces. A document's lines are joined once; a run is looked at only if it is as long as some true
+    line, and then meets the true lines by an equi-join. The lengths are a set of at most as many numbers as the longest true
+    line has characters."""
+    t = truth.select(T.remove_spaces(F.col("text")).alias("key"), F.col("id").alias("true_id")).where("key <> ''").groupBy("key").agg(F.max("true_id").alias("true_id"))
+    lengths = t.agg(F.sort_array(F.collect_set(F.length("key"))).alias("lengths"))
+    d = inputs.select("doc_id", F.struct("seq_id", T.remove_spaces(F.col("text")).alias("m")).alias("l")).where("l.m <> ''")
+    d = d.groupBy("doc_id").agg(F.sort_array(F.collect_list("l")).alias("ls"))
+    d = d.select(F.array_join(F.transform("ls", lambda x: x["m"]), "").alias("w"), F.transform("ls", lambda x: x["seq_id"]).alias("ids"), running_sums(F.transform("ls", lambda x: F.length(x["m"]))).alias("ends"))
+    first = d.crossJoin(F.broadcast(lengths)).select("w", "ids", "ends", "lengths", F.posexplode("ids").alias("i", "seq_id"))  # lengths: one row
+    begin = F.when(F.col("i") == 0, F.lit(0).cast("long")).otherwise(F.get("ends", F.col("i") - 1))
+    first = first.withColumn("begin", begin).withColumn("ends_here", F.array_intersect(F.slice("ends", F.col("i") + 1, F.size("ends")), F.transform("lengths", lambda n: F.col("begin") + n)))
+    runs = first.select("seq_id", "w", "ids", "ends", "begin", F.explode("ends_here").alias("end"))
+    runs = runs.select("seq_id", F.get("ids", (F.array_position("ends", F.col("end")) - 1).cast("int")).alias("last_seq_id"), F.substring("w", (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int")).alias("key"))
+    return runs.join(t, "key").groupBy("true_id").agg(F.min(F.struct("seq_id", "last_seq_id")).alias("s")).select("true_id", "s.*")
+
+
 def seeded_order(seed: int, key: str) -> Column:
     """A random order that is the same everywhere."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
