@@ -92,13 +92,14 @@ def encoded_lengths(spark, sf_dir):
 
 
 @query(f"""with {LINES}, {TOKENS} select lang, count(*) as n_lines, cast(sum(length(text)) as bigint) as n_chars, cast(sum(len(string_split(text, ' '))) as bigint) as n_tokens, round(avg(length(text)), 6) as mean_chars,
- cast(sum(length(text) - 2 * (length(text) - length(replace(text, ' ', ''))) - 1) as bigint) as insert_positions, (select count(distinct w) from (select lang as g, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_'']*')) as w from documents) where g = lang) as unique_words from lines group by 1""")
+ cast(sum(length(text) - 2 * (length(text) - length(replace(text, ' ', ''))) - 1) as bigint) as insert_positions, (select count(distinct w) from (select lang as g, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_'']*')) as w from documents) where g is not distinct from lang) as unique_words from lines group by 1""")
 def dataset_statistics(spark, sf_dir):
     rows = lines(spark, sf_dir)
     spaces = F.length("text") - F.length(F.translate("text", " ", ""))
     by_lang = rows.groupBy("lang").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", " "))).alias("n_tokens"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), F.sum(F.length("text") - 2 * spaces - 1).alias("insert_positions"))
     words = rows.select("lang", F.explode(T.words(F.col("text"))).alias("w")).distinct().groupBy("lang").agg(F.count("*").alias("unique_words"))
-    return by_lang.join(words, "lang")
+    words = words.withColumnRenamed("lang", "_lang")
+    return by_lang.join(words, by_lang["lang"].eqNullSafe(words["_lang"]), "left").drop("_lang").na.fill(0, ["unique_words"])
 
 
 NOISY = "replace(replace(text, ' the ', '  the' || chr(160)), ' de ', ' ' || chr(8201) || 'de  ')"
@@ -216,7 +217,10 @@ def abbreviation_stats(spark, sf_dir):
     return S.abbreviations(documents(spark, sf_dir))
 
 
-STUMPS = "dict as (select token from uni where cnt >= 20 and regexp_matches(token, '^\\p{L}+$')), asked as (select token as query from uni where cnt between 5 and 19 and regexp_matches(token, '^\\p{L}+$') and length(token) >= 6)"
+#: Stumps of a table of words: the word (i = 0) and it without its i-th character. Pairs that share one are an edit apart if one
+#: is the other's stump, both lack the same place, or they lack neighbouring places and an equal character (an exchange).
+STUMPED = "{0} as (select distinct token, i, case when i = 0 then token else substr(token, 1, i - 1) || substr(token, i + 1) end as stump from (select token, unnest(range(0, length(token) + 1)) as i from {1}))"
+ONE_EDIT = "(a.i = 0 or b.i = 0 or a.i = b.i or abs(a.i - b.i) = 1 and substr(a.token, a.i, 1) = substr(b.token, b.i, 1))"
 
 
 @query(f"with {LINES}, {TOKENS}, {UNI}, dict as (select token from uni where cnt >= 20 and regexp_matches(token, '^\\p{{L}}+$')) select stump, count(*) as n_tokens from (select distinct token, stump from (select token, case when i = 0 then token else substr(token, 1, i - 1) || substr(token, i + 1) end as stump from (select token, unnest(range(0, length(token) + 1)) as i from dict))) group by 1 having count(*) > 1")
@@ -226,10 +230,11 @@ def stump_index(spark, sf_dir):
     return S.stumps(words).groupBy("stump").agg(F.count("*").alias("n_tokens")).where("n_tokens > 1")
 
 
-@query(f"with {LINES}, {TOKENS}, {UNI}, {STUMPS} select query, token from asked join dict on abs(length(query) - length(token)) <= 1 and damerau_levenshtein(query, token) <= 1")
+@query(f"with {LINES}, {TOKENS}, {UNI}, words as (select token from uni where regexp_matches(token, '^\\p{{L}}+$')), dict as (select token from uni where cnt >= 100 and regexp_matches(token, '^\\p{{L}}+$')), {STUMPED.format('qs', 'words')}, {STUMPED.format('ds', 'dict')} select distinct a.token as query, b.token from qs a join ds b using (stump) where {ONE_EDIT}")
 def fuzzy_join_one_edit(spark, sf_dir):
+    """Every alphabetic word with the frequent ones that it is at most an edit apart from."""
     words = S.merged_unigrams(S.unigrams(lines(spark, sf_dir))).where(r"token rlike '^\\p{L}+$'")
-    return S.fuzzy_join(words.where("cnt between 5 and 19 and length(token) >= 6").select("token"), words.where("cnt >= 20").select("token"))
+    return S.fuzzy_join(words.select("token"), words.where("cnt >= 100").select("token"))
 
 
 @query(f"""with {LINES}, {TOKENS}, {UNI}, {BI}, c as (select token, i, substr(token, 1, i) as l, substr(token, i + 1) as r from (select token, unnest(range(1, length(token))) as i from uni where length(token) > 1)),

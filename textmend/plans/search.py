@@ -17,7 +17,7 @@ from textmend.operators import search as R
 from textmend.operators import stats as S
 from textmend.operators.lineage import checkpoint
 from textmend.operators.rules import postprocess
-from textmend.plans.corpus import LINES, lines
+from textmend.plans.corpus import LINES, STUMPED, lines
 from textmend.plans.repair import noisy, rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -187,11 +187,16 @@ def spelling_beam_repair(spark, sf_dir):
     return edits(R.repair(noised(spark, sf_dir, lambda t, i: N.typos(t, i, 0.1, 32)), function, "corrupt"))
 
 
-@query(rf"""with {LINES}, w as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from benchmark) where regexp_matches(word, '^[A-Za-z]{{6,}}$')), d as (select distinct word from (select unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as word from lines) where regexp_matches(word, '^[A-Za-z]{{6,}}$'))
- select w.word, d.word as other, levenshtein(w.word, d.word) as distance, least(levenshtein(w.word, d.word), 3) as banded from w join d on substr(w.word, 1, 5) = substr(d.word, 1, 5)""")
+_WORDS = r"select distinct unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as token from {0}"
+
+
+@query(f"""with {LINES}, w as ({_WORDS.format('benchmark')}), d as ({_WORDS.format('lines')}), {STUMPED.format('ws', 'w')}, {STUMPED.format('ds', 'd')},
+ p as (select a.token as word, b.token as other, min(case when a.token = b.token then 0 when a.i = 0 or b.i = 0 or a.i = b.i then 1 else 2 end) as distance from ws a join ds b using (stump) group by 1, 2) select word, other, cast(distance as bigint) as distance, cast(case when distance > 1 then 2 else distance end as bigint) as banded from p""")
 def levenshtein_pairs(spark, sf_dir):
-    """Edit distances of words of the benchmark and of documents that begin alike, and those cut off above 2."""
-    words = lambda df: df.select(F.explode(T.words(F.col("text"))).alias("word")).where(F.col("word").rlike("^[A-Za-z]{6,}$")).distinct().withColumn("key", F.substring("word", 1, 5))
-    pairs = words(spark.read.parquet(f"{sf_dir}/benchmark.parquet")).join(words(lines(spark, sf_dir)).withColumnRenamed("word", "other"), "key")
-    near = F.levenshtein("word", "other", 2)
-    return pairs.select("word", "other", F.levenshtein("word", "other").cast("long").alias("distance"), F.when(near < 0, 3).otherwise(near).cast("long").alias("banded"))
+    """Edit distances of the benchmark's words and documents' words that are the same but for at most one character each, and
+    those cut off above 1."""
+    words = lambda df: df.select(F.explode(T.words(F.col("text"))).alias("token")).distinct()
+    w = S.stumps(words(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).withColumnRenamed("token", "word")
+    pairs = w.join(S.stumps(words(lines(spark, sf_dir))).withColumnRenamed("token", "other"), "stump").select("word", "other").distinct()
+    near = F.levenshtein("word", "other", 1)
+    return pairs.select("word", "other", F.levenshtein("word", "other").cast("long").alias("distance"), F.when(near < 0, 2).otherwise(near).cast("long").alias("banded"))

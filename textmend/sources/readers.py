@@ -93,3 +93,40 @@ def length_batches(rows: DataFrame, size: int, text: str = "text", key: str = "s
     """rows with ``batch``: rows of equal length in batches of ``size``."""
     place = F.row_number().over(Window.partitionBy(F.length(text)).orderBy(F.md5(F.col(key).cast("string"))))
     return rows.withColumn("batch", F.concat_ws("-", F.length(text).cast("string"), F.floor((place - 1) / size).cast("string")))
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): each file under path as one text."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def files_under(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes) of a tree of folders, without reading them."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
+def read_table(spark: SparkSession, path: str, columns: str, sep: str = "\t") -> DataFrame:
+    """Separated values without quotes, typed by ``columns`` ("name type, ..."); short rows are filled with nulls."""
+    return spark.read.schema(columns).option("sep", sep).option("quote", "").option("header", False).csv(path)
+
+
+def write_table(rows: DataFrame, path: str, sep: str = "\t") -> None:
+    """Separated values with a header; nulls are empty."""
+    rows.write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
+
+
+def first_lines(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """The first n rows (file, line, text) of each file, or n random ones, the same for a seed everywhere."""
+    order = F.col("line") if seed is None else F.md5(F.concat_ws(":", F.lit(str(seed)), "file", F.col("line").cast("string")))
+    place = F.row_number().over(Window.partitionBy("file").orderBy(order))
+    return rows.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
+
+
+def longest_first(pairs: DataFrame, text: str, n: int) -> DataFrame:
+    """The n rows of the longest texts, longest first; ties by the text."""
+    return pairs.orderBy(F.desc(F.length(text)), text).limit(n)
+
+
+def runtime_per_1000(runtimes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, seconds): seconds per 1000 characters of rows with seconds and chars."""
+    return runtimes.groupBy(*by).agg((1000 * F.sum("seconds") / F.sum("chars")).alias("seconds"))

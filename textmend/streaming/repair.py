@@ -32,18 +32,30 @@ def token_counts(events: DataFrame, time: str, text: str, window: str = "1 hour"
     return tokens.where("token <> ''").groupBy("window", "token").agg(F.count("*").alias("cnt"))
 
 
-def _join_open(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get[0] if state.exists else ""
-    out = []
-    for text in pd.concat(list(batches)).sort_values("line")["text"]:
-        held += text
-        if not held.endswith("-"):
-            out.append(held)
-            held = ""
-    state.update((held,))
-    yield pd.DataFrame({"file": [key[0]] * len(out), "text": out})
-
-
-def joined_hyphens(lines: DataFrame) -> DataFrame:
-    """lines: (file, line, text). A line that ends with a hyphen waits for the next of its file."""
-    return lines.groupBy("file").applyInPandasWithState(_join_open, "file string, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+def _joiner(wait_ms: int):
+    def join_open(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else ""
+        if state.hasTimedOut:  # nothing has come to continue the last line: it is whole as it is
+            state.remove()
+            yield pd.DataFrame({"file": [key[0]], "text": [held]})
+            return
+        out = []
+        for text in pd.concat(list(batches)).sort_values("line")["text"]:
+            held += text
+            if not held.endswith("-"):
+                out.append(held)
+                held = ""
+        if held:
+            state.update((held,))
+            state.setTimeoutDuration(wait_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"file": [key[0]] * len(out), "text": out})
+
+    return join_open
+
+
+def joined_hyphens(lines: DataFrame, wait_ms: int = 3_600_000) -> DataFrame:
+    """lines: (file, line, text). A line that ends with a hyphen waits for the next of its file; if none comes for so long, as
+    at a file's end, it is passed on as it is. Lines of a file must not overtake each other from batch to batch."""
+    return lines.groupBy("file").applyInPandasWithState(_joiner(wait_ms), "file string, text string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
