@@ -43,6 +43,9 @@ def test_words_equal_whole_dictionaries(spark):
         (lambda u, b, n, t: search.left_to_right(u, b, t), lookup.edge_spans, True),
         (lambda u, b, n, t: search.maximum_matching(u, t), lookup.word_spans, False),
         (lambda u, b, n, t: search.fewest_non_words(u, t), lambda n: lookup.word_spans(20), False),
+        (lambda u, b, n, t: search.unigram_corrector(u, b, t), lambda n: lookup.neighbour_spans(4), True),
+        (lambda u, b, n, t: search.bigram_postprocess(u, b, t), lambda n: lookup.neighbour_spans(2), True),
+        (lambda u, b, n, t: search.window_fixer(u, n, t), lambda n: lookup.neighbour_spans(8), False),
     ):
         got = predicted(plans.by_words(chunks, documents, "corrupt", function, spans, pairs))
         assert got == {r.seq_id: None if r.corrupt is None else function(uni, bi, total, r.corrupt) for r in rows.collect()}
@@ -106,3 +109,10 @@ def test_long_searches_run_over_documents(spark, tmp_path):
 def test_letters_beyond_ascii_are_put_in():
     model = LM.Model({("\x02" * 3 + "die tür ist grün " * 50 + "\x03")[i : i + 4]: 50 for i in range(852)})
     assert search.spelling_beam(model, "die tur ist grün", letter_penalty=1.0) == "die tür ist grün"
+
+
+def test_baselines_on_small_dictionaries():
+    u, b = {"the": 50, "cat": 20, "sat": 10, "thecat": 1}, {("the", "cat"): 5}
+    assert search.unigram_corrector(u, b, "th e cat") == "the cat" and search.unigram_corrector(u, b, "thecat sat") == "the cat sat"
+    assert search.bigram_postprocess(u, b, "thecat s at") == "the cat sat" and search.bigram_postprocess(u, b, "") == ""
+    assert search.window_fixer(u, 81, "t h e cat s at") == "the cat sat"

@@ -122,6 +122,21 @@ def edge_spans(longest: int) -> Callable[[str], Iterator[tuple[int, int]]]:
     return spans
 
 
+def neighbour_spans(window: int) -> Callable[[str], Iterator[tuple[int, int]]]:
+    """Runs of up to ``window`` words of the text, and the parts of each word cut in two."""
+
+    def spans(text: str) -> Iterator[tuple[int, int]]:
+        ends = [0]
+        for word in text.split(" "):
+            ends.append(ends[-1] + len(word))
+        for k in range(1, len(ends)):
+            yield from ((ends[b], ends[k]) for b in range(max(0, k - window), k))
+            yield from ((ends[k - 1], c) for c in range(ends[k - 1] + 1, ends[k]))
+            yield from ((c, ends[k]) for c in range(ends[k - 1] + 1, ends[k]))
+
+    return spans
+
+
 def words_asked(spans: Callable[[str], Iterator[tuple[int, int]]]) -> Callable[..., set[str]]:
     def keys(texts: set[str]) -> set[str]:
         out: set[str] = set()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmend.plans import corpus, preparation, repair, scoring, search
+from textmend.plans import alignment, corpus, preparation, repair, scoring, search
 
-QUERIES = {**corpus.QUERIES, **repair.QUERIES, **search.QUERIES, **preparation.QUERIES, **scoring.QUERIES}
+QUERIES = {**corpus.QUERIES, **repair.QUERIES, **search.QUERIES, **preparation.QUERIES, **scoring.QUERIES, **alignment.QUERIES}
 ORACLE_SQL = {**corpus.ORACLE_SQL, **repair.ORACLE_SQL, **search.ORACLE_SQL, **preparation.ORACLE_SQL, **scoring.ORACLE_SQL}

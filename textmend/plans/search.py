@@ -155,6 +155,41 @@ def fewest_non_words_repair(spark, sf_dir):
     return with_words(spark, sf_dir, lambda u, b, n, text: R.fewest_non_words(u, text))
 
 
+@query()
+def unigram_repair(spark, sf_dir):
+    return with_words(spark, sf_dir, lambda u, b, n, text: R.unigram_corrector(u, b, text), lambda longest: L.neighbour_spans(4), pairs=True)
+
+
+@query()
+def bigram_postprocess_repair(spark, sf_dir):
+    return with_words(spark, sf_dir, lambda u, b, n, text: R.bigram_postprocess(u, b, text), lambda longest: L.neighbour_spans(2), pairs=True)
+
+
+@query()
+def window_fixer_repair(spark, sf_dir):
+    return with_words(spark, sf_dir, lambda u, b, n, text: R.window_fixer(u, n, text), lambda longest: L.neighbour_spans(8))
+
+
+@query()
+def two_pass_repair(spark, sf_dir):
+    """Beam search forward, then backward on what came out, with a model of the reversed lines."""
+    p_insert, p_delete = R.PENALTIES["UNI+"]["Wiki"]
+    beams = lambda m: partial(R.beam_search_many, m, p_insert=p_insert, p_delete=p_delete)
+    forward = by_grams(corrupted(spark, sf_dir), LM.counts(lines(spark, sf_dir)), "corrupt", beams)
+    turned = forward.withColumn("turned", F.reverse("predicted")).drop("predicted")
+    backward = LM.counts(lines(spark, sf_dir).select(F.reverse("text").alias("text")))
+    fixed = by_grams(checkpoint(L.chunked(turned, "seq_id", "turned")), backward, "turned", beams)
+    return scores(fixed.withColumn("predicted", F.reverse("predicted")))
+
+
+@query(f"with {LINES}, {GRAMS.replace('|| text ||', '|| reverse(text) ||')}, {MODEL} select lang, cast(sum(cnt) as bigint) as n, round(pow(2, -sum(cnt * log2(p)) / sum(cnt)), 4) as perplexity from g4 join p4 using (gram) group by 1")
+def backward_perplexity(spark, sf_dir):
+    """Perplexity of a model that reads from the end."""
+    by_lang = LM.grams(lines(spark, sf_dir).select("lang", F.reverse("text").alias("text")), ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("cnt"))
+    model = LM.probabilities(by_lang.groupBy("gram").agg(F.sum("cnt").alias("cnt")))
+    return LM.perplexity(by_lang, model, "lang").select("lang", "n", F.round("perplexity", 4).alias("perplexity"))
+
+
 def noised(spark, sf_dir, corrupt) -> DataFrame:
     """The lines of documents with noise. The searches are long: small chunks for all cores."""
     rows = lines(spark, sf_dir).select("seq_id", "text", corrupt(F.col("text"), F.col("seq_id")).alias("corrupt"))
