@@ -90,6 +90,10 @@ def test_words_of_any_length_match():
     assert search.maximum_matching({word: 3, "is": 5}, f"is{word}is") == f"is {word} is"
 
 
+def test_matching_keeps_spaces_behind_wide_gaps():
+    assert search.maximum_matching({}, "a  bcd e") == "a bcd e" and search.maximum_matching({"bcd": 1}, "  xbcd  e") == "x bcd e"
+
+
 def test_edits_beyond_fifty_are_counted(spark, tmp_path):
     text = "several plain words to be changed somehow " * 1000
     spark.createDataFrame([(1, "en", "s", text, len(text))], "doc_id long, lang string, source string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
