@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder all executors share (spark.checkpoint.dir). Where none is named, a session on one
-    machine takes a folder of its own; on a cluster that is an error, as executors could not read it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir). Where none is named, a session on one machine takes a folder of
+    its own; on a cluster that is an error, as executors could not read it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textmend-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
