@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmend.operators.lineage import checkpoint  # noqa: F401 - the operators take it from here
+from textmend.operators.lineage import checkpoint, shared_folder  # noqa: F401 - the operators take checkpoint from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +37,10 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
 def let(value, use):
     """use(value) with value worked out once: a lambda over a one-element array."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the folder of ``checkpoint``: smaller than a checkpoint where rows are many and narrow."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
