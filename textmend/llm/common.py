@@ -39,8 +39,18 @@ def let(value, use):
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Spark's setting: what a query has shuffled is removed at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder of ``checkpoint``: smaller than a checkpoint where rows are many and narrow."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Cut lineage by a table in the folder of ``checkpoint``: smaller than a checkpoint where rows are many and narrow. What was
+    shuffled for it is removed once it is written, so that an operator of several rounds holds one round's shuffle."""
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{uuid.uuid4()}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path)
