@@ -88,9 +88,18 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(held, r"([.!?]) ", "$1\n"), "\n"), lambda s: F.trim(F.translate(s, "\x01", " ")))
 
 
+#: Where a run of words that single spaces part begins or ends. A pattern of the run itself would go one level deeper for each word.
+_RUN_ENDS = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N} ]| [^\p{L}\p{N}]| $)|(?<=[^\p{L}\p{N} ]|[^\p{L}\p{N}] |^ )(?=[\p{L}\p{N}])"
+
+
+def pieces(text: Column) -> Column:
+    """Runs of words that single spaces part, and what stands between them; joined, they are the text."""
+    return F.filter(F.split(text, _RUN_ENDS), lambda p: p != "")
+
+
 def editable_runs(text: Column) -> Column:
     """Words that single spaces part, as one run."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?: [\p{L}\p{N}]+)*"), F.lit(0))
+    return F.filter(pieces(text), lambda p: p.rlike(r"^[\p{L}\p{N}]"))
 
 
 def character_set_tokens(text: Column) -> Column:
