@@ -36,6 +36,31 @@ def test_template_text_of_a_host_goes(spark):
     assert got[100][0] == "Same\n\ntext"
 
 
+def test_every_block_of_an_article_stays(spark):
+    """Hosts of few and many pages, with copies of an article, near copies, and blocks that all articles have."""
+    rows, want = [], {}
+    for host, n in (("two", 2), ("three", 3), ("fifty", 50)):
+        for i in range(n):
+            blocks = ["Title", "Short para one.", "Short para two.", f"own {i % 25}", "alpha", "beta", "x" * 79, "y" * 80]
+            if i % 10 == 3:
+                blocks[2] = f"changed {i}"
+            page = f"<nav>Menu</nav><div>Welcome</div><article><h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:4]) + f"<ul><li>{blocks[4]}</li><li>{blocks[5]}</li></ul><div>{blocks[6]}</div><p>{blocks[7]}</article><div>Goodbye</div>"
+            rows.append((len(rows), f"http://{host}.example/{i}", page, "", ""))
+            want[len(rows) - 1] = "\n\n".join(blocks)
+    for i in range(2):
+        rows.append((len(rows), "http://bare.example", f"<div><p>Intro.</p><p>same short</p><p>Own {i}</p></div>", "", ""))
+        want[len(rows) - 1] = f"Intro.\n\nsame short\n\nOwn {i}"
+    got = extracted(spark, rows)
+    assert {k: got[k][0] for k in want} == want
+
+
+def test_only_what_is_passed_over_holds_text(spark):
+    pages = ['<div class="menu-content"><p>Text</p></div>', '<div class="header-content">Text</div>', '<form><h1>Text</h1></form>', '<section class="social-content-section">Text</section>', '<article><p class="byline">Text</p></article>']
+    mixed = '<form>Search</form><div class="footer-content">No</div><p>Text</p>'
+    got = extracted(spark, [(i, f"http://h{i}.example", x, "", "") for i, x in enumerate([*pages, mixed])])
+    assert [got[i][0] for i in range(len(got))] == ["Text"] * 6
+
+
 def test_classes_equal_brute_force(spark):
     """Vectors written out page by page, for one host."""
     pages = [f"<body><div>Menu text</div><p>p{i}</p>" + "<p>twice</p>" * (1 + i % 2) + ("<h2>often</h2>" if i % 3 else "") + "<div>End</div></body>" for i in range(9)]

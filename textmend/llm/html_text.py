@@ -6,8 +6,8 @@ built of tags can be part of the template. On each page the classes are put in o
 its tokens stand there in the host's order, and if, from the widest class to the narrowest, it lies within one gap of
 every wider one or has it within one of its own; classes that cross are dropped. Text that belongs to a nested class is
 the template's own, and what is left in the gaps are the slots. Slots in containers of menus, headers, footers, sidebars,
-notices, adverts, forms and comments are passed over; of the others, those inside the article (or main) element if the
-page has one make the main text.
+notices, adverts, forms and comments are passed over. A page's article (or main) element is one slot, whatever its blocks
+repeat; where there is none, all other slots make the main text.
 
 A container's class or id names boilerplate only if all its parts do, or say nothing: ``site-nav`` is a menu,
 ``with-sidebar``, ``search-methods`` and ``related-work`` are not.
@@ -18,7 +18,7 @@ flat ones.
 
 Edge cases: null html counts as empty and has an empty text; broken markup (unclosed or cut tags, comments and elements)
 never loses text that stands before the break, and a cut ``</`` at the end of a page is markup, not text; a host has a
-template from two pages of different content on, before that only containers decide; a null url is a host like any other;
+template from ``MIN_PAGES`` pages of at least ``MIN_CONTENTS`` different contents on, before that only containers decide; a null url is a host like any other;
 repeated rows yield repeated result rows.
 """
 
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from textmend.llm.common import checkpoint
 
-MIN_PAGES, MIN_SHARE, MIN_CLASS, PROSE = 2, 0.6, 3, 80
+#: A host's template: pages and different contents it takes, share of the pages, tokens of a class.
+MIN_PAGES, MIN_CONTENTS, MIN_SHARE, MIN_CLASS = 8, 6, 0.6, 3
 #: Bytes of templates up to which they are broadcast; beyond, pages and templates are joined by host.
 BROADCAST_BYTES = 32 << 20
 #: What elements are and what containers' names say.
@@ -48,7 +49,7 @@ SKIP = frozenset("head title script style noscript template iframe nav aside foo
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation navi menu menus menubar sidebar side aside footer foot header masthead topbar "
     "breadcrumb breadcrumbs crumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager "
-    "comment comments commentlist disqus replies reply respond toolbar search skip tags byline".split()
+    "comment comments commentlist disqus replies reply respond toolbar search skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 FIRM = frozenset("comment comments commentlist disqus replies reply respond related recommended recommendations".split())
@@ -93,12 +94,13 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _container(name: str, attributes: str, in_article: bool) -> tuple[str, int]:
-    """Label of an element for paths, and 0: content, 1: passed over unless an article lies inside, 2: passed over."""
+    """Label of an element for paths, and 0: content, 1: passed over if anything else holds text, 2: passed over unless an article
+    lies inside, 3: passed over."""
     label, kind = name, 0
     if name in SKIP:
-        kind = 1 if name in ("form", "aside", "noscript") else 2
+        kind = {"form": 1, "aside": 2, "noscript": 2}.get(name, 3)
     elif name == "header" and not in_article:
-        kind = 1
+        kind = 2
     if attributes and name not in ("html", "body", "main"):
         said: list[str] = []
         for key, value in _ATTR.findall(attributes):
@@ -107,12 +109,12 @@ def _container(name: str, attributes: str, in_article: bool) -> tuple[str, int]:
                 said += [value] if key == "id" else value.split()
                 label += "." + value if key == "class" else ""
             elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                kind = max(kind, 1)
+                kind = max(kind, 2)
         words = [w for w in ({p.lower() for p in _PART.findall(x)} for x in said) if w & NAMES and w <= NAMES | PLAIN]
         if any(w & FIRM for w in words):
-            kind = 2
+            kind = 3
         elif words and not (name == "article" or in_article and any({"article", "post", "entry", "content", "story"} & w for w in words)):
-            kind = max(kind, 1)
+            kind = max(kind, 1 if all("content" in w for w in words) else 2)
     return label, kind
 
 
@@ -121,7 +123,7 @@ class Page:
 
     def __init__(self, page: str):
         self.tokens: list[int] = []  # hashes of tags and texts with their paths; those of texts are odd
-        self.blocks: list[tuple[int, str, bool, bool, bool]] = []  # token, text, passed over, in an article, heading
+        self.blocks: list[tuple[int, str, int, bool]] = []  # token, text, how passed over, in an article
         stack: list[tuple[str, int, int, int]] = []  # name, hash of the path, passed over, in articles
         containers: list[int] = []  # places in the stack of the open blocks
         opened: Counter[str] = Counter()
@@ -131,10 +133,10 @@ class Page:
             text = _SPACE.sub(" ", entities.unescape("".join(words))).strip()
             words.clear()
             if text:
-                name, path, skip, articles = stack[containers[-1]] if containers else ("", 0, 0, 0)
+                _, path, skip, articles = stack[containers[-1]] if containers else ("", 0, 0, 0)
                 token = hashed(f"{path}\x1f{text}") | 1
                 self.tokens.append(token)
-                self.blocks.append((token, text, skip > 0, articles > 0, name[:1] == "h"))
+                self.blocks.append((token, text, skip, articles > 0))
 
         def close_from(at: int) -> None:
             opened.subtract(s[0] for s in stack[at:])
@@ -144,7 +146,7 @@ class Page:
 
         for what, name, attributes in events(page):
             if what == "text":
-                if not stack or stack[-1][2] < 2:
+                if not stack or stack[-1][2] < 3:
                     words.append(name)
                 continue
             block = name in BLOCKS
@@ -165,7 +167,7 @@ class Page:
                             close_from(same)
                 _, path, skip, articles = stack[-1] if stack else ("", 0, 0, 0)
                 label, kind = _container(name, attributes, articles > 0)
-                if name in ("article", "main") and kind < 2 and skip < 2:
+                if name in ("article", "main") and kind < 3 and skip < 3:
                     skip, articles = kind, articles + 1
                 else:
                     skip = max(skip, kind)
@@ -205,17 +207,15 @@ class Page:
         return {t for _, tokens in kept for t in tokens}
 
     def main_text(self, classes: list[list[int]]) -> str:
-        """The blocks in slots: not the template's own text, not passed over, in the article if there is one. Prose in
-        an article is content even if a host repeats it, as it does with copies of articles."""
-        in_article = any(b[3] and not b[2] for b in self.blocks)
-        template = self.template(classes) if classes else set()
-        out = []
-        for token, text, skip, article, heading in self.blocks:
-            if skip or in_article and not article:
-                continue
-            if token in template and not (article and (heading or len(text) >= PROSE)):
-                continue
-            out.append(text)
+        """The blocks in slots. In a page's article every block is content, however many pages of the host have it, as they do
+        with copies of articles; elsewhere the template's own text is not. A page whose only text is in a form or in a container
+        that calls itself some boilerplate's content has that text."""
+        article = any(in_article for _, _, skip, in_article in self.blocks if not skip)
+        template = self.template(classes) if classes and not article else set()
+        for most in (0, 1):
+            out = [text for token, text, skip, in_article in self.blocks if skip <= most and (in_article or not article) and token not in template]
+            if out:
+                break
         return "\n\n".join(out)
 
 
@@ -238,10 +238,11 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, token, pages, vector, first, last, place): sums over a batch. vector adds up a hash of page and count; first and
-    last are the least and greatest of the pages' contents, to tell copies of one content from many; place is the token's
-    on the page of the least content. The token 0 stands for the host itself."""
+    last are the least and greatest of the pages' contents, and contents has a bit for each 64th of them, to tell copies of one content
+    from many; place is the token's on the page of the least content. The token 0 stands for the host itself."""
     wrap = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
-    names = ["host", "token", "pages", "vector", "first", "last", "place"]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    names = ["host", "token", "pages", "vector", "first", "last", "place", "contents"]
     for batch in batches:
         sums: dict[tuple[int, int], list[int]] = {}
         for k, (page, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -255,29 +256,30 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, value = (host, token), hashed(mark + str(n))
                 s = sums.get(key)
                 if s is None:
-                    sums[key] = [1, value, content, content, places.get(token, 0)]
+                    sums[key] = [1, value, content, content, places.get(token, 0), 1 << (content & 63)]
                 else:
                     s[4] = places.get(token, 0) if content < s[2] else s[4]
+                    s[5] |= 1 << (content & 63)
                     s[0], s[1], s[2], s[3] = s[0] + 1, wrap(s[1] + value), min(s[2], content), max(s[3], content)
-        columns = list(zip(*((*k, *v) for k, v in sums.items()), strict=True)) or [()] * len(names)
+        columns = list(zip(*((*k, *v[:5], signed(v[5])) for k, v in sums.items()), strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_class: int = MIN_CLASS) -> DataFrame:
+def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_class: int = MIN_CLASS, min_contents: int = MIN_CONTENTS) -> DataFrame:
     """(host, classes): the classes of a host that hold text, each in the order in which its tokens stand. Together they have at
     most 1 / min_share times the tokens of a page of the host."""
     rows = _rows(pages, id_col, url_col, html_col)
-    seen = rows.mapInArrow(_occurrences, "host bigint, token bigint, pages bigint, vector bigint, first bigint, last bigint, place bigint")
+    seen = rows.mapInArrow(_occurrences, "host bigint, token bigint, pages bigint, vector bigint, first bigint, last bigint, place bigint, contents bigint")
     # sums of hashes wrap on purpose: the two halves are added apart and put together again
     halves = seen.withColumns({"low": F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF)), "high": F.shiftright("vector", 32)})
-    tokens = halves.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("low").alias("low"), F.sum("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("place", "first").alias("place"))
+    tokens = halves.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("low").alias("low"), F.sum("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.bit_or("contents").alias("contents"), F.min_by("place", "first").alias("place"))
     frequent = checkpoint(tokens.where(F.col("pages") >= min_pages))
     hosts = frequent.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     common = frequent.where("token <> 0").join(hosts, "host").where(F.col("pages") >= min_share * F.col("host_pages"))
     vector = [F.pmod("low", F.lit(1 << 32)).alias("l"), F.pmod(F.col("high") + F.shiftright("low", 32), F.lit(1 << 32)).alias("h")]
     is_text = F.pmod("token", F.lit(2)) == 1
     classes = common.groupBy("host", "pages", *vector).agg(
-        F.count_if(is_text & (F.col("first") < F.col("last"))).alias("texts"), F.count_if(~is_text).alias("tags"), F.count("*").alias("size"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("tokens"))
+        F.count_if(is_text & (F.bit_count("contents") >= min_contents)).alias("texts"), F.count_if(~is_text).alias("tags"), F.count("*").alias("size"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("tokens"))
     valid = classes.where((F.col("size") >= min_class) & (F.col("tags") >= 2) & (F.col("texts") > 0))
     return valid.groupBy("host").agg(F.collect_list(F.transform("tokens", lambda t: t["token"])).alias("classes"))
 
