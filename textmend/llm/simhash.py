@@ -131,6 +131,11 @@ def bits_of(similarity: float, lanes: int = LANES) -> int:
     return int(n * p + 1.2816 * math.sqrt(n * p * (1 - p)))
 
 
+def angle_of(similarity: float, lanes: int = LANES) -> int:
+    """Differing bits that such pairs have on average."""
+    return int(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 class GrayIndex:
     """Hierarchy over codes (rows of 64-bit lanes) in Gray order. A node keeps the bits all its codes share (mask, value);
     going up, nodes are merged in runs of ``fan``. Two nodes hold no link if their shared bits differ in more than
@@ -357,8 +362,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, fingerprint, component_id): texts link where their sets of shingles are that similar.
 
     Candidates are the links of 256-bit fingerprints whose angle may stand for the similarity, a forest for each group, and the texts
-    of one fingerprint; each is confirmed on the sets. A text that has candidates but none confirmed is compared once
-    more, with all texts so near by a group that it shares, as the forest may have left out the right one."""
+    of one fingerprint. Each text of a component is confirmed on the sets against the component's most linked text, and if
+    that fails against all its candidates. A text that has candidates but none confirmed is compared once more, with all texts
+    of a group that it shares that are within the mean angle of the similarity, as the forest may have left out the right one."""
     lanes, masks, max_bits = lane_names(LANES), drawn_masks(keys, key_bits), bits_of(similarity)
     texts = id_and_text(docs, id_col, text_col).select("id", F.md5("text").alias("node"), "text")
     rows = fingerprints(texts.select(F.struct("id", "node").alias("both"), "text"), "both", "text", words, LANES)
@@ -371,7 +377,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     linked = forest.join(head("u"), "u").join(head("v"), "v").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))
     pairs = checkpoint(linked.unionAll(alike).distinct())
     named = texts.select("node", "text")
-    first = confirmed(pairs, named, words, similarity)
+    # most of a group is confirmed against its most linked text; only the others need all their candidates
+    degrees = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    member = checkpoint(components(pairs).join(degrees, "node").select("node", "root", "n"))
+    centres = checkpoint(member.groupBy("root").agg(F.max(F.struct("n", "node")).alias("c")).select("root", F.col("c.node").alias("u")))
+    stars = checkpoint(member.join(small_side(centres), "root").where("u <> node").select("u", F.col("node").alias("v")))
+    star = confirmed(stars, named, words, similarity)
+    off = checkpoint(star.where("not linked").select(F.col("v").alias("node")))
+    ordered = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    of_off = lambda c: pairs.join(small_side(off.withColumnRenamed("node", c)), c)
+    rest = of_off("u").select("u", "v").unionAll(of_off("v").select("u", "v")).distinct().join(ordered, ["u", "v"], "left_anti")
+    first = star.unionAll(confirmed(checkpoint(rest), named, words, similarity))
 
     tried = first.select(F.explode(F.array("u", "v")).alias("node"), "linked").groupBy("node").agg(F.max("linked").alias("linked"))
     alone = checkpoint(tried.where("not linked").select("node"))
@@ -379,7 +395,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = lambda df, node, mark: df.select(F.explode(F.array(*key)).alias("g"), F.col(node).alias(mark), *[F.col(w).alias(f"{mark}{k}") for k, w in enumerate(lanes)])
     near = keyed(nodes.join(small_side(alone), "node"), "node", "a").join(keyed(codes, "head", "b"), "g")
     bits = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, LANES)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    more = near.where((bits <= max_bits) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    more = near.where((bits <= angle_of(similarity)) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     second = confirmed(checkpoint(more.join(pairs, ["u", "v"], "left_anti")), named, words, similarity)
 
     roots = components(first.unionAll(second).where("linked").select("u", "v"))
