@@ -7,12 +7,10 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmend.functions import spaces as SP
 from textmend.functions import text as T
 from textmend.operators import evaluate as E
 from textmend.operators import language_model as LM
 from textmend.operators import lookup as L
-from textmend.operators import noise as N
 from textmend.operators import search as R
 from textmend.operators import stats as S
 from textmend.operators.lineage import checkpoint
@@ -190,38 +188,6 @@ def backward_perplexity(spark, sf_dir):
     return LM.perplexity(by_lang, model, "lang").select("lang", "n", F.round("perplexity", 4).alias("perplexity"))
 
 
-def noised(spark, sf_dir, corrupt) -> DataFrame:
-    """The lines of documents with noise. The searches are long: small chunks for all cores."""
-    rows = lines(spark, sf_dir).select("seq_id", "text", corrupt(F.col("text"), F.col("seq_id")).alias("corrupt"))
-    return checkpoint(L.chunked(rows, "seq_id", "corrupt", 1 << 14))
-
-
-def edits(fixed: DataFrame) -> DataFrame:
-    """Edit distances from each line before and after the repair of its noise."""
-    return fixed.select("seq_id", F.md5("predicted").alias("predicted_md5"), *[exact_edits(F.col("text"), F.col(c)).alias(n) for c, n in (("corrupt", "edits_before"), ("predicted", "edits_after"))])
-
-
-@query()
-def best_first_repair(spark, sf_dir):
-    """Best-first search over single changes of spaces."""
-    rows = noised(spark, sf_dir, lambda t, i: SP.corrupt(t, i, 0.03, 0.15, 31))
-    return edits(by_grams(rows, LM.counts(lines(spark, sf_dir)), "corrupt", lambda m: L.each(partial(R.best_first, m))))
-
-
-@query()
-def spelling_beam_repair(spark, sf_dir):
-    """Beam search over spaces and spelling of texts with typing errors."""
-    shared = spark.sparkContext.broadcast(LM.collected(LM.counts(lines(spark, sf_dir))))
-    held: list = []
-
-    def function(text: str) -> str:
-        if not held:
-            held.append(LM.Model(shared.value))
-        return R.spelling_beam(held[0], text)
-
-    return edits(R.repair(noised(spark, sf_dir, lambda t, i: N.typos(t, i, 0.1, 32)), function, "corrupt"))
-
-
 _WORDS = r"select distinct unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) as token from {0}"
 
 
