@@ -42,3 +42,9 @@ def running_sums(numbers: Column) -> Column:
 def running_max(numbers: Column) -> Column:
     """array<bigint>: the greatest of each element and all before it."""
     return _running(numbers, F.greatest)
+
+
+def number_up_to(ascending: Column, x: Column) -> Column:
+    """int: how many elements of an ascending array are no greater than x, by halving (up to 2^25 elements); null of null."""
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    return F.when(ascending.isNotNull() & x.isNotNull(), F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(ascending, at + s - 1) <= x, at + s).otherwise(at)))
