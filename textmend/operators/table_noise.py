@@ -121,7 +121,8 @@ def scanner_errors(text: Column, row: Column, p: float, seed: int) -> Column:
 
 def masked_typos(text: Column, row: Column, p: float, seed: int) -> Column:
     """struct<text, mask, n_edits>: with p, one edit in a token, of any place and kind; a replacement is another letter. mask has a 0 for each
-    character of a token that was drawn, a 1 for all others and for spaces. Tokens of one character are not taken out."""
+    character of a token that was drawn, a 1 for all others and for spaces. Tokens of one character are not taken out. row: a
+    bigint; a null text gives null."""
     letters = LETTERS + LETTERS.upper()
 
     def all_of(m: Column) -> Column:
@@ -139,4 +140,4 @@ def masked_typos(text: Column, row: Column, p: float, seed: int) -> Column:
         mask = lambda x: F.array_join(F.transform(x, lambda y: F.repeat(y["m"], F.length(y["t"]))), "1")
         return let(F.transform(m["tokens"], one), lambda x: F.struct(F.array_join(F.transform(x, lambda y: y["t"]), " ").alias("text"), mask(x).alias("mask"), F.size(F.filter(x, lambda y: y["m"] == "0")).alias("n_edits")))
 
-    return let(F.struct(F.split(text, " ").alias("tokens"), row_seed(seed, row).alias("seed")), all_of)
+    return F.when(text.isNotNull(), let(F.struct(F.split(text, " ").alias("tokens"), row_seed(seed, row).alias("seed")), all_of))

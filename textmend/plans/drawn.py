@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textmend.functions.rng import uniform_sql
 from textmend.operators import edits as D
 from textmend.operators import noise as N
+from textmend.operators import span_noise as SN
 from textmend.operators import stats as S
 from textmend.operators import table_noise as TN
 from textmend.plans.corpus import LINES, ONE_EDIT, STUMPED, TOKENS, UNI, documents, lines
@@ -136,3 +137,71 @@ def misspelling_noise(spark, sf_dir):
     """Lines with the corpus' own misspellings, and random errors in words that have none."""
     rows = lines(spark, sf_dir).select("seq_id", "text")
     return TN.misspellings(rows, misspelt(rows), 0.1, 0.5, 54).select("seq_id", F.md5("noisy").alias("noisy_md5"), "n_edits")
+
+
+# -- spans of tokens
+_TOKENS = "t as (select seq_id, unnest(string_split(text, ' ')) as t, unnest(range(0, len(string_split(text, ' ')))) as j from lines), n as (select seq_id, count(*) as n from t group by 1)"
+_RATES = "rates as (select length(regexp_replace(text, '[A-Za-z ]', '', 'g')) * 1.0::double / length(text) as x from lines)"
+
+
+def span_noise_sql(seed: int, rate: str, head: str = "") -> str:
+    """Spans with rates: rate is SQL of the draws u and v."""
+    length, at = f"5 + cast(floor({uniform_sql(seed + 1, 'seq_id', 'k')} * 6) as bigint)", lambda k: uniform_sql(seed, "seq_id", f"(j * {SN.STRIDE} + {k})")
+    return f"""with {LINES}, {head}{_TOKENS}, l as (select seq_id, n, k, {length} as size from (select seq_id, n, unnest(range(0, cast(floor((n - 1) / 5) + 1 as bigint))) as k from n)),
+ b as (select seq_id, n, k, cast(sum(size) over (partition by seq_id order by k) as bigint) as stop, cast(sum(size) over (partition by seq_id order by k) - size as bigint) as start from l),
+ s as (select seq_id, k, start, least(stop, n) as stop, {rate} as p from (select *, {uniform_sql(seed + 2, 'seq_id', 'k')} as u, {uniform_sql(seed + 3, 'seq_id', 'k')} as v from b where start < n)),
+ w as (select t.seq_id, j, n, stop, p, t.t, coalesce(lead(t.t) over (partition by t.seq_id order by j), '') as following from t join s on s.seq_id = t.seq_id and j >= start and j < stop join n on n.seq_id = t.seq_id),
+ o as (select seq_id, j, case when t = '' then '' else array_to_string(list_transform(string_split(t, ''), lambda c, i: case when i < length(t) and {at('(i - 1)')} < p then c || ' ' else c end), '') end || case when j + 1 = n or following <> '' and j + 1 < stop and {at(SN.STRIDE - 1)} < p then '' else ' ' end as x from w),
+ r as (select seq_id, count(*) as n_spans, round(sum(p), 4) as rates from s group by 1)
+ select seq_id, md5(string_agg(x, '' order by j)) as noisy_md5, any_value(n_spans) as n_spans, any_value(rates) as rates from o join r using (seq_id) group by 1"""
+
+
+def span_rows(noisy: DataFrame) -> DataFrame:
+    return noisy.select("seq_id", F.md5("noisy").alias("noisy_md5"), F.size("rates").cast("long").alias("n_spans"), F.round(F.aggregate("rates", F.lit(0.0), lambda a, x: a + x), 4).alias("rates"))
+
+
+_LAW = f"{_RATES}, law as (select round(-count(x) filter (where x > 0) / sum(ln(x)) filter (where x > 0), 6) as exponent, round(avg(cast(x = 0 as int)), 6) as p_zero from rates), "
+
+
+@query(span_noise_sql(61, "(select case when v < p_zero or exponent is null then 0.0::double else pow(u, 1 / exponent) end from law)", _LAW))
+def power_law_span_noise(spark, sf_dir):
+    """Lines with space errors in spans, at rates of a power law with a share of zeros, fitted to what part of each line is no letter."""
+    rows = lines(spark, sf_dir).select("seq_id", "text")
+    law = SN.fitted_power_law(rows.select((F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.length("text")).alias("x")), "x")
+    rate = lambda u, v: F.when((v < F.col("p_zero")) | F.col("exponent").isNull(), 0.0).otherwise(SN.power_law(F.col("exponent"), u))
+    return span_rows(SN.fitted_spans(rows.crossJoin(F.broadcast(law)), rate, 61))  # law: one row
+
+
+GAMMA = SN.gamma_quantiles(0.6, 0.06)
+_GRID = "[" + ", ".join(f"{g!r}::double" for g in GAMMA) + "]"
+
+
+@query(span_noise_sql(65, "grid[cast(floor(u * 256) as bigint) + 1] + (u * 256 - floor(u * 256)) * (grid[cast(floor(u * 256) as bigint) + 2] - grid[cast(floor(u * 256) as bigint) + 1])".replace("grid", "(select g from grid)"), f"grid as (select {_GRID} as g), "))
+def gamma_span_noise(spark, sf_dir):
+    """Lines with space errors in spans, at rates of a gamma distribution."""
+    return span_rows(SN.fitted_spans(lines(spark, sf_dir).select("seq_id", "text"), lambda u, v: SN.from_quantiles(GAMMA, u), 65))
+
+
+def _percent(x: str) -> str:
+    return f"lpad(cast(cast(round({x} * 100) as int) as varchar), 3, '0')"
+
+
+_MARKS, _DIGITS = "length(regexp_replace(text, '[A-Za-z0-9 ]', '', 'g')) * 1.0::double / length(text)", "length(regexp_replace(text, '[^0-9]', '', 'g')) * 1.0::double / length(text)"
+_NAMED = f"select '' as key, v, count(*) as w from (select lpad(cast(len(string_split(text, ' ')) as varchar), 2, '0') || {_percent(_MARKS)} || {_percent(_DIGITS)} as v from lines where len(string_split(text, ' ')) <= 10) group by 2"
+_OTHER = lambda k: uniform_sql(72, "seq_id", f"(j * {SN.STRIDE} + {k})")
+
+
+@query(f"""with recursive {LINES}, {tabulated('iv', _NAMED)}, {_TOKENS},
+ h as (select seq_id, j, {uniform_sql(71, 'seq_id', '(j * 4 + 1)')} * (select total from iv_n) as x from t where {uniform_sql(71, 'seq_id', '(j * 4)')} < cast({SN.P_ERRONEOUS!r} as double)),
+ e as (select seq_id, j as pos, cast(substr(v, 1, 2) as bigint) as size, v as new from h join iv on x >= lo and x < hi), {SETTLED},
+ s as (select seq_id, pos, size, cast(substr(new, 3, 3) as int) / 100 as p_insert, cast(substr(new, 6, 3) as int) / 100 as p_delete from kept where ok),
+ w as (select t.seq_id, t.j, t.t, n.n, s.pos, j + 1 = s.pos + s.size or j + 1 = n.n as last, p_insert, p_delete from t join n using (seq_id) left join s on s.seq_id = t.seq_id and j >= pos and j < pos + size),
+ o as (select seq_id, j, pos, case when pos is null or t = '' then t else array_to_string(list_transform(string_split(t, ''), lambda c, i: case when (i > 1 or j > pos) and (i < length(t) or last) and {_OTHER('(i - 1)')} < p_insert then ' ' || c else c end), '') end
+  || case when j + 1 = n or pos is not null and not last and {_OTHER(SN.STRIDE - 1)} < p_delete then '' else ' ' end as x from w)
+ select seq_id, md5(trim(regexp_replace(string_agg(x, '' order by j), ' +', ' ', 'g'))) as noisy_md5, count(distinct pos) as n_spans from o group by 1""")
+def empirical_span_noise(spark, sf_dir):
+    """Lines with erroneous spans whose lengths and rates are those of the corpus' short lines: their shares of marks and digits."""
+    rows = lines(spark, sf_dir).select("seq_id", "text")
+    share = lambda pattern: F.length(F.regexp_replace("text", pattern, "")) / F.length("text")
+    rates = rows.select(F.size(F.split("text", " ")).alias("n_tokens"), share("[A-Za-z0-9 ]").alias("p_insert"), share("[^0-9]").alias("p_delete"))
+    return SN.empirical_spans(rows, rates, 71).select("seq_id", F.md5("noisy").alias("noisy_md5"), "n_spans")
