@@ -75,12 +75,14 @@ def fitted_spans(rows: DataFrame, rate, seed: int, key: str = "seq_id", text: st
         n = F.size(tokens)
 
         def one(t: Column, j: Column) -> Column:
-            span = number_up_to(m["ends"], j)
-            p = F.get(m["rates"], span)
             draw = lambda k: at_place(m["seed"], j.cast("long") * STRIDE + k)
-            inner = F.array_join(F.transform(F.split(t, ""), lambda c, k: F.when((k + 1 < F.length(t)) & (draw(k) < p), F.concat(c, F.lit(" "))).otherwise(c)), "")
-            dropped = (F.get(tokens, j + 1) != "") & (j + 1 < F.get(m["ends"], span)) & (draw(STRIDE - 1) < p)
-            return F.concat(inner, F.when((j + 1 == n) | dropped, "").otherwise(" "))
+
+            def spaced(s: Column) -> Column:
+                inner = F.array_join(F.transform(F.split(t, ""), lambda c, k: F.when((k + 1 < F.length(t)) & (draw(k) < s["p"]), F.concat(c, F.lit(" "))).otherwise(c)), "")
+                dropped = (F.get(tokens, j + 1) != "") & (j + 1 < s["stop"]) & (draw(STRIDE - 1) < s["p"])
+                return F.concat(inner, F.when((j + 1 == n) | dropped, "").otherwise(" "))
+
+            return let(number_up_to(m["ends"], j), lambda span: let(F.struct(F.get(m["rates"], span).alias("p"), F.get(m["ends"], span).alias("stop")), spaced))
 
         return F.array_join(F.transform(tokens, one), "")
 
@@ -118,15 +120,20 @@ def empirical_spans(rows: DataFrame, rates: DataFrame, seed: int, p: float = P_E
         tokens, found = m["tokens"], m["spans"]
 
         def one(t: Column, j: Column) -> Column:
-            s = F.get(found, number_up_to(m["begins"], j) - 1)
-            inside = j < s["at"] + s["size"]
-            last = (j + 1 == s["at"] + s["size"]) | (j + 1 == F.size(tokens))
-            p_insert, p_delete = F.substring(s["new"], 3, 3).cast("int") / 100, F.substring(s["new"], 6, 3).cast("int") / 100
             draw = lambda k: at_place(m["other"], j.cast("long") * STRIDE + k)
-            put = lambda k: ((k > 0) | (j > s["at"])) & ((k + 1 < F.length(t)) | last) & (draw(k) < p_insert)
-            inner = F.array_join(F.transform(F.split(t, ""), lambda c, k: F.when(put(k), F.concat(F.lit(" "), c)).otherwise(c)), "")
-            behind = F.when((j + 1 == F.size(tokens)) | (inside & ~last & (draw(STRIDE - 1) < p_delete)), "").otherwise(" ")
-            return F.concat(F.when(inside, inner).otherwise(t), behind)
+
+            def spaced(s: Column) -> Column:
+                put = lambda k: ((k > 0) | (j > s["at"])) & ((k + 1 < F.length(t)) | s["last"]) & (draw(k) < s["p_insert"])
+                inner = F.array_join(F.transform(F.split(t, ""), lambda c, k: F.when(put(k), F.concat(F.lit(" "), c)).otherwise(c)), "")
+                behind = F.when((j + 1 == F.size(tokens)) | (s["inside"] & ~s["last"] & (draw(STRIDE - 1) < s["p_delete"])), "").otherwise(" ")
+                return F.concat(F.when(s["inside"], inner).otherwise(t), behind)
+
+            def rated(s: Column) -> Column:
+                end = s["at"] + s["size"]
+                rate = lambda at: F.substring(s["new"], at, 3).cast("int") / 100
+                return let(F.struct(s["at"].alias("at"), (j < end).alias("inside"), ((j + 1 == end) | (j + 1 == F.size(tokens))).alias("last"), rate(3).alias("p_insert"), rate(6).alias("p_delete")), spaced)
+
+            return let(F.get(found, number_up_to(m["begins"], j) - 1), rated)
 
         return F.trim(F.regexp_replace(F.array_join(F.transform(tokens, one), ""), " +", " "))
 
