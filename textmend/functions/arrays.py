@@ -39,6 +39,20 @@ def running_sums(numbers: Column) -> Column:
     return _running(numbers, lambda a, b: a + b)
 
 
+def sums_before(numbers: Column, places: Column) -> Column:
+    """array<bigint>: the sum of all elements before each of some ascending places (from 0). Each element is added once, and
+    only as many values run on as there are places."""
+
+    def between(m: Column) -> Column:
+        def one(place: Column, j: Column) -> Column:
+            last = F.when(j == 0, F.lit(0)).otherwise(F.get(m["places"], j - 1))
+            return F.aggregate(F.slice(m["numbers"], last + 1, place - last), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+        return F.transform(m["places"], one)
+
+    return running_sums(let(F.struct(numbers.alias("numbers"), places.alias("places")), between))
+
+
 def running_max(numbers: Column) -> Column:
     """array<bigint>: the greatest of each element and all before it."""
     return _running(numbers, F.greatest)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmend.functions.arrays import let, running_sums
+from textmend.functions.arrays import let, sums_before
 from textmend.functions.rng import at_place, row_seed
 
 
@@ -31,30 +31,37 @@ def spaced(characters: Column, gaps: Column) -> Column:
     return F.regexp_replace(F.array_join(F.zip_with(chars, gaps, lambda c, n: F.concat(F.repeat(F.lit(" "), n), c)), ""), r"\$$", "")
 
 
+def differing(true: Column, corrupt: Column, use) -> Column:
+    """use(array<struct<k, o, c, s>>) of the gaps that differ: s is where the gap's first space would stand in a text with
+    the gaps ``corrupt``."""
+    every = F.arrays_zip(F.sequence(F.lit(0), F.size(true) - 1).alias("k"), true.alias("o"), corrupt.alias("c"))
+
+    def placed(m: Column) -> Column:
+        before = sums_before(m["corrupt"], F.transform(m["odd"], lambda g: g["k"]))
+        return F.zip_with(m["odd"], before, lambda g, n: F.struct(g["k"].alias("k"), g["o"].alias("o"), g["c"].alias("c"), (g["k"] + n).cast("int").alias("s")))
+
+    odd = F.filter(every, lambda g: g["o"] != g["c"])
+    return let(F.struct(odd.alias("odd"), corrupt.alias("corrupt")), lambda m: let(placed(m), use))
+
+
 def corruptions(true: Column, corrupt: Column) -> Column:
     """array<struct<position, type>> in places of the corrupt text. true, corrupt: gaps."""
+    typed = lambda p, kind: F.struct(p.alias("position"), F.lit(kind).alias("type"))
+
     def one(g: Column) -> Column:
         s, o, c = g["s"], g["o"], g["c"]
-        typed = lambda p, kind: F.struct(p.alias("position"), F.lit(kind).alias("type"))
         return F.when(o > c, F.array(typed(s + c, "DELETION"))).otherwise(F.transform(F.sequence(s + o, s + c - 1), lambda p: typed(p, "INSERTION")))
 
-    def placed(ends: Column) -> Column:
-        # a gap's spaces and its character end at ends[i], so its first space would stand c + 1 before
-        rows = F.zip_with(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), ends, lambda g, e: F.struct((e - g["c"] - 1).cast("int").alias("s"), g["o"].alias("o"), g["c"].alias("c")))
-        return F.flatten(F.transform(F.filter(rows, lambda g: g["o"] != g["c"]), one))
-
-    return let(running_sums(F.transform(corrupt, lambda c: c + 1)), placed)
+    return differing(true, corrupt, lambda odd: F.flatten(F.transform(odd, one)))
 
 
 def true_places(true: Column, corrupt: Column) -> Column:
     """array<struct<position, type>>, one for each gap that differs, in places of the true text. true, corrupt: gaps."""
 
-    def placed(ends: Column) -> Column:
-        rows = F.zip_with(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), ends, lambda g, e: F.struct(
-            (e - g["o"] - 1 + F.least(g["o"], g["c"])).cast("int").alias("position"), F.when(g["o"] > g["c"], "DELETION").when(g["o"] < g["c"], "INSERTION").alias("type")))
-        return F.filter(rows, lambda r: r["type"].isNotNull())
+    def one(g: Column) -> Column:  # the other way round: c is the true text's gap
+        return F.struct((g["s"] + F.least(g["o"], g["c"])).alias("position"), F.when(g["c"] > g["o"], "DELETION").otherwise("INSERTION").alias("type"))
 
-    return let(running_sums(F.transform(true, lambda o: o + 1)), placed)
+    return differing(corrupt, true, lambda odd: F.transform(odd, one))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -90,11 +97,27 @@ def corrupt(text: Column, row: Column, p_insert: float | Column, p_delete: float
 
 
 def revert(text: Column, errors: Column) -> Column:
-    """Undo corruptions on fixed places: spaces at INSERTIONs go, one comes before the character at each DELETION."""
-    at = lambda kind: F.transform(F.filter(errors, lambda e: e["type"] == kind), lambda e: e["position"])
-    chars = F.concat(F.split(text, ""), F.array(F.lit("")))
-    return let(F.struct(at("INSERTION").alias("gone"), at("DELETION").alias("missing")), lambda m: F.array_join(F.transform(chars, lambda c, i: F.concat(
-        F.when(F.array_contains(m["missing"], i), " ").otherwise(""), F.when(F.array_contains(m["gone"], i), "").otherwise(c))), ""))
+    """Undo corruptions on fixed places, in any order: spaces at INSERTIONs go, one comes before the character at each
+    DELETION. The text is cut at the errors, so each character is copied once."""
+
+    def sorted_codes(n: Column) -> Column:
+        known = F.filter(errors, lambda e: e["type"].isin("INSERTION", "DELETION") & e["position"].between(0, n))
+        return F.array_sort(F.array_distinct(F.transform(known, lambda e: e["position"] * 2 + (e["type"] == "INSERTION").cast("int"))))
+
+    behind = lambda code: F.floor(code / 2).cast("int") + code % 2  # noqa: E731 -- what goes on after an error
+
+    def cut(m: Column) -> Column:
+        chars, codes = m["chars"], m["codes"]
+
+        def piece(code: Column, j: Column) -> Column:
+            begin = F.when(j == 0, F.lit(0)).otherwise(behind(F.get(codes, j - 1)))
+            said = F.array_join(F.slice(chars, begin + 1, F.greatest(F.floor(code / 2).cast("int") - begin, F.lit(0))), "")
+            return F.concat(said, F.when(code % 2 == 0, " ").otherwise(""))
+
+        rest = F.slice(chars, F.coalesce(behind(F.try_element_at(codes, F.lit(-1))), F.lit(0)) + 1, F.size(chars))
+        return F.concat(F.array_join(F.transform(codes, piece), ""), F.array_join(rest, ""))
+
+    return let(F.struct(F.split(text, "").alias("chars"), F.coalesce(let(F.length(text), sorted_codes), F.array().cast("array<int>")).alias("codes")), cut)
 
 
 def positions_in_merged(text: Column) -> Column:

@@ -48,7 +48,7 @@ def char_lm_probabilities(spark, sf_dir):
 
 @query(f"with {LINES}, {GRAMS}, {MODEL} select lang, cast(sum(cnt) as bigint) as n, round(pow(2, -sum(cnt * log2(p)) / sum(cnt)), 4) as perplexity from g4 join p4 using (gram) group by 1")
 def lm_perplexity(spark, sf_dir):
-    by_lang = LM.grams(lines(spark, sf_dir), ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("cnt"))
+    by_lang = checkpoint(LM.grams(lines(spark, sf_dir), ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("cnt")))
     model = LM.probabilities(by_lang.groupBy("gram").agg(F.sum("cnt").alias("cnt")))
     return LM.perplexity(by_lang, model, "lang").select("lang", "n", F.round("perplexity", 4).alias("perplexity"))
 
