@@ -123,3 +123,32 @@ def revert(text: Column, errors: Column) -> Column:
 def positions_in_merged(text: Column) -> Column:
     """Places, counted without spaces, that have a space before them (the end not included)."""
     return let(gaps(text), lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 2), lambda i: (F.size(g) > 1) & (F.get(g, i) > 0)))
+
+
+def readable_differences(a: Column, b: Column, ignore_punctuation: bool = True) -> Column:
+    """array<struct<a, b>>: places in both texts, equal but for spaces, where one has a space that the other lacks. If
+    punctuation is ignored, spaces count only between two of 0-9 and a-z. What only one text has at its end is no difference."""
+    chars = F.split(merged(a), "")
+
+    def wanted(g: Column, letters: Column) -> Column:
+        alone = (F.greatest(g["o"], g["c"]) == 1) & F.get(letters, g["k"] - 1).rlike("^[0-9a-z]$") & F.get(letters, g["k"]).rlike("^[0-9a-z]$")
+        return (alone if ignore_punctuation else F.lit(True)) & (g["k"] < F.size(letters))
+
+    def one(g: Column, e: Column) -> Column:
+        at, most, least = g["k"] + e["n"], F.greatest(g["o"], g["c"]), F.least(g["o"], g["c"])
+        spot = lambda t: F.struct((g["k"] + e["a"] + F.when(g["o"] > g["c"], t).otherwise(least)).cast("int").alias("a"), (at + F.when(g["o"] > g["c"], least).otherwise(t)).cast("int").alias("b"))
+        return F.transform(F.sequence(least, most - 1), spot)
+
+    def found(m: Column) -> Column:
+        odd = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size(m["a"]) - 1).alias("k"), m["a"].alias("o"), m["b"].alias("c")), lambda g: g["o"] != g["c"])
+        kept = F.filter(odd, lambda g: wanted(g, m["chars"]))
+        at = lambda gs: F.transform(gs, lambda g: g["k"])
+        ends = lambda gs: F.arrays_zip(sums_before(m["a"], at(gs)).alias("a"), sums_before(m["b"], at(gs)).alias("n"))
+        return let(kept, lambda gs: F.flatten(F.zip_with(gs, ends(gs), one)))
+
+    return F.when(merged(a) == "", F.array().cast("array<struct<a:int,b:int>>")).otherwise(let(F.struct(gaps(a).alias("a"), gaps(b).alias("b"), chars.alias("chars")), found))
+
+
+def inverted(kind: Column) -> Column:
+    """The type of the error that undoes one of this type."""
+    return F.when(kind == "INSERTION", "DELETION").when(kind == "DELETION", "INSERTION")

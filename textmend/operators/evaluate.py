@@ -107,3 +107,16 @@ def without_inverse_pairs(rows: DataFrame, kinds: str = "kinds") -> DataFrame:
     left = F.transform(k, lambda x, i: F.when((x == 1) & ((i == 0) | (F.get(k, i - 1) != -1)), F.struct(i.alias("place"), F.lit("DELETION").alias("type"))).when(
         (x == -1) & (F.coalesce(F.get(k, i + 1), F.lit(0)) != 1), F.struct(i.alias("place"), F.lit("INSERTION").alias("type"))))
     return rows.select(F.inline(F.filter(left, lambda x: x.isNotNull())))
+
+
+def without_inverses(predictions: DataFrame, key: str) -> DataFrame:
+    """predictions (key, position, type, ...) without those whose inverse, the other type at the same place, is predicted too.
+    Repeated ones stay; a place's predictions meet in one window."""
+    w = Window.partitionBy(key, "position")
+    return predictions.withColumns({"_lo": F.min("type").over(w), "_hi": F.max("type").over(w)}).where(F.col("_lo") == F.col("_hi")).drop("_lo", "_hi")
+
+
+def benchmark_name(noise: Column, p: Column) -> Column:
+    """Name of a benchmark: noise and share of errors with one decimal, 0 for no noise, 1 and inf as such."""
+    share = F.when(p == float("inf"), "inf").when(p == 1, "1").otherwise(F.format_string("%.1f", p))
+    return F.concat(F.when(noise > 0, F.format_string("%.1f", noise)).otherwise("0"), F.lit("_"), share)
