@@ -2,7 +2,7 @@
 
 ``gaps`` lists, for each character that is no space and for the end, how many spaces stand before it. Two texts with the
 same characters are then two arrays of one length, and everything about their space errors is arithmetic on them: no
-alignment search, no exploding, no Python. For a gap of o spaces in the true text and c in the corrupt one, whose first
+alignment search, no exploding; noise and error counts run on whole batches (``batches``). For a gap of o spaces in the true text and c in the corrupt one, whose first
 space would stand at s in the corrupt text, equal spaces are matched first: o > c is a deletion at s + c, c > o are
 insertions at s + o to s + c - 1.
 """
@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from textmend.functions import batches
 from textmend.functions.arrays import let, sums_before
-from textmend.functions.rng import at_place, row_seed
+from textmend.functions.rng import row_seed
 
 
 def gaps(text: Column) -> Column:
@@ -70,30 +72,16 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def error_counts(true: Column, corrupt: Column, predicted: Column) -> Column:
-    """Struct of tp, fp and fn of the predicted repairs, by type, each a sum over gaps. All three: gaps."""
-    three = F.zip_with(F.zip_with(true, corrupt, lambda o, c: F.struct(o.alias("o"), c.alias("c"))), predicted, lambda g, p: F.struct(g["o"].alias("o"), g["c"].alias("c"), p.alias("p")))
-    zero = F.lit(0)
-    parts = {
-        "tp_del": lambda o, c, p: (o > c) & (p > c), "fp_del": lambda o, c, p: (o <= c) & (p > c), "fn_del": lambda o, c, p: (o > c) & (p <= c),
-        "tp_ins": lambda o, c, p: F.greatest(zero, c - F.greatest(o, p)), "fp_ins": lambda o, c, p: F.greatest(zero, F.least(o, c) - p), "fn_ins": lambda o, c, p: F.greatest(zero, F.least(p, c) - o),
-    }
-    total = lambda g, f: F.aggregate(g, F.lit(0), lambda a, x: a + f(x["o"], x["c"], x["p"]).cast("int")).cast("long")
-    odd = F.filter(three, lambda g: (g["o"] != g["c"]) | (g["p"] != g["c"]))  # the other gaps count for nothing
-    return let(odd, lambda g: F.struct(*[total(g, f).alias(n) for n, f in parts.items()]))
+    """Struct of tp, fp and fn of the predicted repairs, by type, each a sum over gaps. All three: texts with the same
+    characters but for spaces."""
+    counts = StructType([StructField(n, LongType()) for n in batches.COUNTS])
+    return F.arrow_udf(batches.error_counts, counts)(true, corrupt, predicted)
 
 
 def corrupt(text: Column, row: Column, p_insert: float | Column, p_delete: float | Column, seed: int) -> Column:
     """Each space goes with p_delete; before each character whose neighbour before it is no space, one comes with p_insert."""
-    def noise(m: Column) -> Column:
-        chars = m["chars"]
-
-        def one(c: Column, i: Column) -> Column:
-            u = at_place(m["seed"], i.cast("long"))
-            return F.when(c == " ", F.when(u < p_delete, "").otherwise(" ")).when((i > 0) & (F.get(chars, i - 1) != " ") & (u < p_insert), F.concat(F.lit(" "), c)).otherwise(c)
-
-        return F.array_join(F.transform(chars, one), "")
-
-    return F.when(text == "", text).otherwise(let(F.struct(F.split(text, "").alias("chars"), row_seed(seed, row).alias("seed")), noise))
+    share = lambda p: (p if isinstance(p, Column) else F.lit(p)).cast("double")
+    return F.arrow_udf(batches.corrupt, StringType())(text, row_seed(seed, row), share(p_insert), share(p_delete))
 
 
 def revert(text: Column, errors: Column) -> Column:

@@ -10,8 +10,7 @@ from textmend.functions import spaces as SP
 
 def error_counts(rows: DataFrame, keep: list[str], true: str = "correct", corrupt: str = "corrupt", predicted: str = "predicted") -> DataFrame:
     """One row per sequence: tp, fp and fn by type, and is_correct. The texts differ in spaces only."""
-    g = rows.select(*keep, SP.gaps(F.col(true)).alias("_o"), SP.gaps(F.col(corrupt)).alias("_c"), SP.gaps(F.col(predicted)).alias("_p"))
-    out = g.select(*keep, SP.error_counts(F.col("_o"), F.col("_c"), F.col("_p")).alias("_n")).select(*keep, "_n.*")
+    out = rows.select(*keep, SP.error_counts(F.col(true), F.col(corrupt), F.col(predicted)).alias("_n")).select(*keep, "_n.*")
     wrong = F.col("fp_del") + F.col("fn_del") + F.col("fp_ins") + F.col("fn_ins")
     return out.withColumn("is_correct", wrong == 0)
 
