@@ -179,9 +179,10 @@ APPROACHES = f"{BASE}, a as (select seq_id, lang, doc_id, 'rules' as approach, i
 
 
 def approaches(spark, sf_dir) -> DataFrame:
-    rules = counts(spark, sf_dir).select("seq_id", "lang", "doc_id", F.lit("rules").alias("approach"), "is_correct")
-    nothing = noisy(spark, sf_dir).select("seq_id", "lang", "doc_id", F.lit("nothing").alias("approach"), (F.col("corrupt") == F.col("correct")).alias("is_correct"))
-    return rules.unionAll(nothing)
+    """A row for each line and approach; both come from one run over the lines."""
+    rows = noisy(spark, sf_dir).withColumn("unchanged", F.col("corrupt") == F.col("correct"))
+    both = F.array(*[F.struct(F.lit(n).alias("approach"), F.col(c).alias("is_correct")) for n, c in (("rules", "is_correct"), ("nothing", "unchanged"))])
+    return E.error_counts(rows, ["seq_id", "lang", "doc_id", "unchanged"]).select("seq_id", "lang", "doc_id", F.inline(both))
 
 
 @query(f"{APPROACHES} select lang, round(avg(is_correct::int) filter (where approach = 'nothing'), 6) as nothing, round(avg(is_correct::int) filter (where approach = 'rules'), 6) as rules from a group by 1")
@@ -191,7 +192,7 @@ def approaches_pivot(spark, sf_dir):
 
 @query(f"{APPROACHES}, r as (select lang, approach, avg(is_correct::int) as acc from a group by 1, 2) select x.lang, x.approach, round(x.acc, 6) as acc, round(max(y.acc), 6) as best_other from r x join r y on x.lang = y.lang and x.approach <> y.approach group by 1, 2, 3")
 def best_other(spark, sf_dir):
-    r = approaches(spark, sf_dir).groupBy("lang", "approach").agg(F.avg(F.col("is_correct").cast("int")).alias("acc"))
+    r = checkpoint(approaches(spark, sf_dir).groupBy("lang", "approach").agg(F.avg(F.col("is_correct").cast("int")).alias("acc")))  # a few rows, used twice
     top = r.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("acc", "approach")), asc=False).alias("l"))  # a few approaches
     other = F.when(F.col("l")[0]["approach"] == F.col("approach"), F.col("l")[1]["acc"]).otherwise(F.col("l")[0]["acc"])
     return rounded(r.join(top, "lang").select("lang", "approach", "acc", other.alias("best_other")))
@@ -208,8 +209,8 @@ def significance_exact(spark, sf_dir):
 
 @query(f"{BASE}, r as (select seq_id, (tp + fn) / length(text)::double as rate from counts join lines using (seq_id)) select case when rate = 0 then -1 else cast(floor(rate / 0.02) as bigint) end as bin, count(*) as n from r group by 1")
 def histogram_error_rate(spark, sf_dir):
-    c = counts(spark, sf_dir).withColumn("errors", F.col("tp_del") + F.col("tp_ins") + F.col("fn_del") + F.col("fn_ins"))
-    rows = c.join(lines(spark, sf_dir).select("seq_id", F.length("text").alias("n_chars")), "seq_id")
+    sized = noisy(spark, sf_dir).withColumn("n_chars", F.length("correct"))
+    rows = E.error_counts(sized, ["n_chars"]).withColumn("errors", F.col("tp_del") + F.col("tp_ins") + F.col("fn_del") + F.col("fn_ins"))
     rate = F.col("errors") / F.col("n_chars").cast("double")
     return rows.groupBy(F.when(rate == 0, -1).otherwise(F.floor(rate / 0.02)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
