@@ -114,3 +114,19 @@ def test_baselines_on_small_dictionaries():
     assert search.unigram_corrector({"thecat": 5, "the": 1000, "cat": 900}, {("the", "cat"): 3}, "thecat") == "thecat"  # a split counts as its pair does
     assert search.bigram_postprocess(u, b, "thecat s at") == "the cat sat" and search.bigram_postprocess(u, b, "") == ""
     assert search.window_fixer({k: n for k, n in u.items() if k != "thecat"}, 80, "t h e cat s at") == "the cat sat"
+
+
+def test_beams_do_not_ask_for_wide_gaps(spark, monkeypatch):
+    """Texts with wide gaps are not walked through gram by gram, and come out as they do one by one."""
+    rows = sample(spark)
+    counted = LM.counts(T.lines(spark.read.parquet(f"{SF}/documents.parquet"))).localCheckpoint()
+    model = LM.Model(LM.collected(counted))
+    texts = [r.corrupt for r in rows.collect() if r.corrupt is not None] + ["a   b c", "   ", "  a", "a  "]
+    asked = lookup.one_space_grams_asked(set(texts))
+    few = LM.Model.of({k: n for k, n in [("=" + g, n) for g, n in model.count.items()] + [("<" + g, n) for g, n in model.context.items()] if k in asked})
+
+    def walked(text):
+        raise AssertionError("walked through")
+
+    monkeypatch.setattr(LM, "gap_grams", walked)
+    assert search.beam_search_many(few, texts, 1.2, 0.9) == [search.beam_search(model, t, 1.2, 0.9) for t in texts]
