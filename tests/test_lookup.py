@@ -130,3 +130,21 @@ def test_beams_do_not_ask_for_wide_gaps(spark, monkeypatch):
 
     monkeypatch.setattr(LM, "gap_grams", walked)
     assert search.beam_search_many(few, texts, 1.2, 0.9) == [search.beam_search(model, t, 1.2, 0.9) for t in texts]
+
+
+def test_edges_equal_whole_dictionaries(spark):
+    """Joins of more words than a window of four, and parts joined with the next word, have their counts too."""
+    rows = sample(spark).unionAll(spark.createDataFrame([(-9, "", "i n t e r e s t i n g the  q uick brown f o x")], "seq_id long, text string, corrupt string"))
+    documents = T.lines(spark.read.parquet(f"{SF}/documents.parquet")).select("text").unionAll(spark.createDataFrame([("interesting interestingthe in inte inter intere interes",)], "text string"))
+    uni = {r.token: r.cnt for r in stats.merged_unigrams(stats.unigrams(documents)).collect()}
+    bi = {(r.left, r.right): r.cnt for r in stats.bigrams(documents).collect()}
+    total = sum(uni.values())
+    chunks = lookup.chunked(rows, "seq_id", "corrupt", 3000)
+    for function, pairs in (
+        (lambda u, b, n, t, seen: search.left_to_right(u, b, t, seen), True),
+        (lambda u, b, n, t, seen: search.unigram_corrector(u, b, t, seen), True),
+        (lambda u, b, n, t, seen: search.bigram_postprocess(u, b, t, seen), True),
+        (lambda u, b, n, t, seen: search.window_fixer(u, n, t, seen=seen), False),
+    ):
+        got = predicted(plans.by_words(chunks, documents, "corrupt", function, plans.EDGES, pairs))
+        assert got == {r.seq_id: None if r.corrupt is None else function(uni, bi, total, r.corrupt, None) for r in rows.collect()}
