@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -136,3 +137,19 @@ def test_gray_order_of_two_lanes(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == simhash.similar_documents(df).collect() == []
+
+
+def test_similar_documents_leave_no_shuffled_files_behind(spark):
+    """What its steps shuffle is removed at their end, not when the driver happens to collect its garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name.split("_")[1] for f in blocks.getAllFiles().mkString("\n").split("\n") if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+    text = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, f"{text} end{i % 3}") for i in range(9)], "doc_id long, text string")
+    before = shuffles()
+    assert {r.component_id for r in simhash.similar_documents(docs).collect()} == {0}
+    for _ in range(50):  # files are removed in the background
+        left = shuffles() - before
+        if len(left) <= 4:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 4  # those of the last step, which collect() runs

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmend.llm.common import checkpoint, id_and_text, small_side
+from textmend.llm.common import id_and_text, small_side, stored
 
 WORDS, MAX_BITS, BLOCKS, GROUP_ROWS, LEAF, FAN = 4, 4, 6, 4096, 8, 4
 #: Of ``similar_documents``: words of a shingle, similarity, lanes of 64 bits, bits that the codes of a group share, and
@@ -269,7 +269,7 @@ def link_edges(codes: DataFrame, masks: list[list[int]], max_bits: int = MAX_BIT
     lanes = codes.columns
     key = [F.xxhash64(F.lit(k), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(lanes, mask, strict=True)]) for k, mask in enumerate(masks)]
     keyed = codes.select(F.explode(F.array(*key)).alias("g"), *lanes)
-    large = checkpoint(keyed.groupBy("g").count().where(F.col("count") > group_rows).select("g", F.ceil(F.col("count") / group_rows).cast("int").alias("parts")))
+    large = stored(keyed.groupBy("g").count().where(F.col("count") > group_rows).select("g", F.ceil(F.col("count") / group_rows).cast("int").alias("parts")))
     if not large.isEmpty():
         dealt = keyed.join(small_side(large), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         chunk = F.pmod(F.xxhash64(*lanes), F.col("parts")).cast("int")
@@ -291,7 +291,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating star contraction. Each half round is a grouped minimum and a join on the node, so a node with very many
     neighbours is an aggregate with partial sums and a join whose skewed side Spark can split."""
-    now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -300,7 +300,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        now = checkpoint(small.where("u <> v").distinct())
+        now = stored(small.where("u <> v").distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
@@ -314,13 +314,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, masks: list[list[int]], max_bits: int, group_rows: int) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row."""
     lanes = lane_names(len(masks[0]))
-    rows = checkpoint(fingerprints(docs, id_col, text_col, words, len(lanes)))
-    codes = checkpoint(rows.groupBy(*lanes).agg(F.min("id").alias("least")))
+    rows = stored(fingerprints(docs, id_col, text_col, words, len(lanes)))
+    codes = stored(rows.groupBy(*lanes).agg(F.min("id").alias("least")))
     roots = components(link_edges(codes.select(*lanes), masks, max_bits, group_rows))
-    linked = checkpoint(codes.withColumn("node", _node(lanes)).join(roots, "node").select(*lanes, "least", "root"))
-    smallest = checkpoint(linked.groupBy("root").agg(F.min("least").alias("smallest")))
+    linked = stored(codes.withColumn("node", _node(lanes)).join(roots, "node").select(*lanes, "least", "root"))
+    smallest = stored(linked.groupBy("root").agg(F.min("least").alias("smallest")))
     # only codes that have a link meet their component's least id; a component of any size is a side that can be split
-    joined_ids = checkpoint(linked.join(small_side(smallest), "root").select(*lanes, "smallest"))
+    joined_ids = stored(linked.join(small_side(smallest), "root").select(*lanes, "smallest"))
     by_code = codes.join(small_side(joined_ids), lanes, "left").select(*lanes, F.coalesce("smallest", "least").alias("component_id"))
     spelled = F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in lanes])
     return rows.join(by_code, lanes).select(F.col("id").alias("doc_id"), spelled.alias("fingerprint"), "component_id")
@@ -350,11 +350,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     """pairs (u, v) of texts (node, text) with ``linked``: whether their sets of shingles are that similar. Only the texts of pairs
     are cut into shingles; texts without words are alike."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = checkpoint(shingle_sets(texts.join(asked, "node").groupBy("node").agg(F.first("text").alias("text")), words))
+    sets = stored(shingle_sets(texts.join(asked, "node").groupBy("node").agg(F.first("text").alias("text")), words))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     shared = F.size(F.array_intersect("su", "sv"))
-    return checkpoint(both.select("u", "v", (shared + 1e-9 >= similarity * (F.size("su") + F.size("sv") - shared)).alias("linked")))
+    return stored(both.select("u", "v", (shared + 1e-9 >= similarity * (F.size("su") + F.size("sv") - shared)).alias("linked")))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY,
@@ -368,40 +368,40 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lanes, masks, max_bits = lane_names(LANES), drawn_masks(keys, key_bits), bits_of(similarity)
     texts = id_and_text(docs, id_col, text_col).select("id", F.md5("text").alias("node"), "text")
     rows = fingerprints(texts.select(F.struct("id", "node").alias("both"), "text"), "both", "text", words, LANES)
-    rows = checkpoint(rows.select(F.col("id.id").alias("id"), F.col("id.node").alias("node"), *lanes))
+    rows = stored(rows.select(F.col("id.id").alias("id"), F.col("id.node").alias("node"), *lanes))
     nodes = rows.select("node", *lanes).distinct()
-    codes = checkpoint(nodes.groupBy(*lanes).agg(F.min("node").alias("head")))
+    codes = stored(nodes.groupBy(*lanes).agg(F.min("node").alias("head")))
     alike = nodes.join(codes, lanes).where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     forest = link_edges(codes.select(*lanes), masks, max_bits, group_rows).distinct()
     head = lambda c: codes.select(_node(lanes).alias(c), F.col("head").alias(f"h{c}"))
     linked = forest.join(head("u"), "u").join(head("v"), "v").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))
-    pairs = checkpoint(linked.unionAll(alike).distinct())
+    pairs = stored(linked.unionAll(alike).distinct())
     named = texts.select("node", "text")
     # most of a group is confirmed against its most linked text; only the others need all their candidates
     degrees = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    member = checkpoint(components(pairs).join(degrees, "node").select("node", "root", "n"))
-    centres = checkpoint(member.groupBy("root").agg(F.max(F.struct("n", "node")).alias("c")).select("root", F.col("c.node").alias("u")))
-    stars = checkpoint(member.join(small_side(centres), "root").where("u <> node").select("u", F.col("node").alias("v")))
+    member = stored(components(pairs).join(degrees, "node").select("node", "root", "n"))
+    centres = stored(member.groupBy("root").agg(F.max(F.struct("n", "node")).alias("c")).select("root", F.col("c.node").alias("u")))
+    stars = stored(member.join(small_side(centres), "root").where("u <> node").select("u", F.col("node").alias("v")))
     star = confirmed(stars, named, words, similarity)
-    off = checkpoint(star.where("not linked").select(F.col("v").alias("node")))
+    off = stored(star.where("not linked").select(F.col("v").alias("node")))
     ordered = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     of_off = lambda c: pairs.join(small_side(off.withColumnRenamed("node", c)), c)
     rest = of_off("u").select("u", "v").unionAll(of_off("v").select("u", "v")).distinct().join(ordered, ["u", "v"], "left_anti")
-    first = star.unionAll(confirmed(checkpoint(rest), named, words, similarity))
+    first = star.unionAll(confirmed(stored(rest), named, words, similarity))
 
     tried = first.select(F.explode(F.array("u", "v")).alias("node"), "linked").groupBy("node").agg(F.max("linked").alias("linked"))
-    alone = checkpoint(tried.where("not linked").select("node"))
+    alone = stored(tried.where("not linked").select("node"))
     key = [F.xxhash64(F.lit(k), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(lanes, mask, strict=True)]) for k, mask in enumerate(masks)]
     keyed = lambda df, node, mark: df.select(F.explode(F.array(*key)).alias("g"), F.col(node).alias(mark), *[F.col(w).alias(f"{mark}{k}") for k, w in enumerate(lanes)])
     near = keyed(nodes.join(small_side(alone), "node"), "node", "a").join(keyed(codes, "head", "b"), "g")
     bits = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, LANES)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     more = near.where((bits <= angle_of(similarity)) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    second = confirmed(checkpoint(more.join(pairs, ["u", "v"], "left_anti")), named, words, similarity)
+    second = confirmed(stored(more.join(pairs, ["u", "v"], "left_anti")), named, words, similarity)
 
     roots = components(first.unionAll(second).where("linked").select("u", "v"))
-    joined = checkpoint(rows.select("id", "node").join(small_side(roots), "node").select("node", "id", "root"))
-    smallest = checkpoint(joined.groupBy("root").agg(F.min("id").alias("smallest")))
-    ids = checkpoint(joined.select("node", "root").distinct().join(small_side(smallest), "root").select("node", "smallest"))
+    joined = stored(rows.select("id", "node").join(small_side(roots), "node").select("node", "id", "root"))
+    smallest = stored(joined.groupBy("root").agg(F.min("id").alias("smallest")))
+    ids = stored(joined.select("node", "root").distinct().join(small_side(smallest), "root").select("node", "smallest"))
     own = rows.groupBy("node").agg(F.min("id").alias("least"))
     by_node = own.join(small_side(ids), "node", "left").select("node", F.coalesce("smallest", "least").alias("component_id"))
     spelled = F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in lanes])
