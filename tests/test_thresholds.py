@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from textmend.functions import spaces as SP
 from textmend.operators import thresholds as TH
 
 
@@ -66,3 +67,20 @@ def test_rounds_see_what_the_round_before_did(spark):
     got = [tuple(r) for r in TH.predictions(gaps, model, "seq_id", 5).orderBy("round", "k").collect()]
     assert got[:2] == [(1, 1, 0, True, 0.9), (1, 2, 1, True, 0.8)]  # the second space comes once the first is there
     assert {r[0] for r in got} == {1}
+
+
+def test_rounds_in_chunks_equal_rounds_on_rows_of_gaps(spark):
+    """No gap is a row of a shuffle: a chunk's texts are, and the result is that of windows over all gaps."""
+    rng = random.Random(3)
+    spaced = lambda m: "".join(c + " " * (rng.random() < 0.3) for c in m).strip()
+    merged = ["".join(rng.choice("ab😀") for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, spaced(m), spaced(m)) for i, m in enumerate(merged)], "seq_id long, true string, corrupt string")
+    model = TH.shares(TH.neighbourhoods(rows.where("seq_id < 20"), ["seq_id"], F.col("true")), "seq_id")
+    gaps = TH.neighbourhoods(rows, ["seq_id"], F.col("corrupt"), {"o": SP.gaps(F.col("true"))})
+    truth = gaps.where("o != gap").select("seq_id", "k", F.col("o").alias("insertion"))
+    want = TH.state_of(rows, TH.labelled(TH.predictions(gaps, model, "seq_id", 3), truth, "seq_id"), "seq_id")
+    made = TH.state_in_chunks(rows, TH.shares_around(rows.where("seq_id < 20"), "true"), "true", "corrupt", "seq_id", 3)
+    got = sorted(map(tuple, made.collect()))
+    assert got == sorted(map(tuple, want.collect())) and sum(r[3] < 0 for r in got) > 0
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan

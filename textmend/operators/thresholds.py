@@ -1,17 +1,28 @@
-"""Thresholds fitted on predictions that come in rounds, where a later one can take a false one back."""
+"""Thresholds fitted on predictions that come in rounds, where a later one can take a false one back.
+
+``state_in_chunks`` works through all rounds of a chunk's gaps in arrays, so that no gap is a row; ``neighbourhoods`` to
+``state_of`` do the same on rows of gaps, for predictions of any origin."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmend.functions import batches
 from textmend.functions import spaces as SP
 from textmend.functions.arrays import let
+from textmend.operators import labeling
 from textmend.operators.evaluate import with_scores
 from textmend.operators.lineage import checkpoint
 
 UNKNOWN = 0.2
+#: Characters of a context on each side of a gap; what the gaps before and behind are, each of: no space, a space, not there.
+WIDTH, AROUND = (2, 2), 9
 
 
 def neighbourhoods(rows: DataFrame, keep: list[str], text: Column, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -93,6 +104,77 @@ def state_of(sequences: DataFrame, cases: DataFrame, key: str, digits: int = 3)
     return sums.unionAll(done)
 
 
+def around(gap: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The number of what each gap's neighbours of the same text are now. gap: whether there is a space, text by text."""
+    same = text[1:] == text[:-1]
+    before, behind = np.full(len(gap), 2), np.full(len(gap), 2)
+    before[1:][same], behind[:-1][same] = gap[:-1][same], gap[1:][same]
+    return 3 * before + behind
+
+
+def shares_around(rows: DataFrame, text: str) -> DataFrame:
+    """(context, p_space array<double>): ``shares`` of true texts, by the number of ``around``; null where it was not seen. The gaps are
+    counted where they are; what is shuffled is a row for each case that a task has met."""
+    names = ["context", "around", "space", "cnt"]
+
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in records:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in batches.pieces(texts, labeling.COUNTED):
+                flat, gap, place, sizes = labeling.gap_arrays(texts[a:b])
+                left, at = np.repeat(sizes, sizes) - place, np.flatnonzero(place > 0)
+                space = (gap[at] > 0).astype(np.int64)
+                near = around(space, np.repeat(np.arange(len(sizes)), sizes)[at])
+                first, _, count = labeling.context_numbers(flat, place, left, at, [near, space], WIDTH)
+                near, space, at = near[first], space[first], at[first]
+                contexts = [labeling.context_at(flat, *q, WIDTH) for q in zip(at.tolist(), place[at].tolist(), left[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(contexts, pa.string()), pa.array(near, pa.int32()), pa.array(space, pa.int64()), pa.array(count, pa.int64())], names=names)
+
+    counted = rows.select(text).mapInArrow(run, "context string, around int, space bigint, cnt bigint")
+    sums = [F.sum(F.when(F.col("around") == k, n)) for k in range(AROUND) for n in (F.col("cnt"), F.col("cnt") * F.col("space"))]
+    summed = counted.groupBy("context").agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
+    return summed.select("context", F.array(*[(F.col(f"_{2 * k + 1}") + 0.2) / (F.col(f"_{2 * k}") + 1.0) for k in range(AROUND)]).alias("p_space"))
+
+
+def cases_in_rounds(text: np.ndarray, o: np.ndarray, gap: np.ndarray, p: np.ndarray, rounds: int, threshold: float = 0.5) -> tuple[np.ndarray, ...]:
+    """text, p, tp, fp and fn of each case: ``labelled`` of ``predictions``. text: the number of each gap's text; o, gap: whether there is a space
+    in the true text and now; p: of a space, by the number of ``around``."""
+    now, made, out = gap.copy(), np.zeros(len(gap), np.int64), []
+    due = o != gap
+    for _ in range(rounds):
+        likely = p[np.arange(len(p)), around(now, text)]
+        likely = np.where(np.isnan(likely), UNKNOWN, likely)
+        sure = np.where(now, 1 - likely, likely)
+        at = np.flatnonzero(sure >= threshold)
+        if not len(at):
+            break
+        made[at] += 1
+        nth, wanted = made[at], due[at]
+        true = wanted & (nth == 1)
+        false = np.where(true, 0, np.where((nth % 2 == 1) == wanted, -1, 1))  # each change undoes the one before; the first of a due gap is true
+        out.append((text[at], sure[at], true.astype(np.int64), false, np.zeros(len(at), np.int64)))
+        now[at] = ~now[at]
+    missed = text[due & (made == 0)]
+    none = np.zeros(len(missed), np.int64)
+    out.append((missed, np.full(len(missed), -1.0), none, none, none + 1))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def state_in_chunks(rows: DataFrame, model: DataFrame, true: str, corrupt: str, key: str, rounds: int, digits: int = 3) -> DataFrame:
+    """``state_of`` the rows (key, true, corrupt) after some rounds by a model of ``shares_around``."""
+    def use(keys: pa.ChunkedArray, text: np.ndarray, k: np.ndarray, o: np.ndarray, gap: np.ndarray, p: np.ndarray) -> pa.Table:
+        text, p, *counts = cases_in_rounds(text, o > 0, gap > 0, p, rounds)
+        cut = np.where(p < 0, -1, np.floor(p * 10**digits)).astype(np.int64)
+        case, at = np.unique(text * (10**digits + 2) + cut + 1, return_inverse=True)
+        text, cut = case // (10**digits + 2), case % (10**digits + 2) - 1
+        sums = [pa.array(np.bincount(at, weights=c, minlength=len(case)).astype(np.int64)) for c in counts]
+        return pa.table([keys.take(pa.array(text)), pa.array(np.where(cut < 0, -1.0, cut / float(10**digits))), *sums], names=[key, "t", "tp", "fp", "fn"])
+
+    schema = f"{key} {dict(rows.dtypes)[key]}, t double, tp bigint, fp bigint, fn bigint"
+    sums = labeling.by_context(rows, model, true, corrupt, key, use, schema, WIDTH, AROUND)
+    return sums.unionAll(rows.select(key, F.lit(-1.0).alias("t"), *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")]))
+
+
 def resumed(path: str, sequences: DataFrame, cases_of, key: str = "seq_id") -> DataFrame:
     """The state in the folder path after all sequences: those that an earlier run has finished are not worked on again.
     cases_of: labelled cases of sequences. A run that is interrupted while it writes adds nothing."""

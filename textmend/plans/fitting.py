@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from textmend.functions import spaces as SP
 from textmend.operators import thresholds as TH
 from textmend.plans.corpus import LINES
 from textmend.plans.repair import GAPS, NOISE, noisy, rounded
@@ -49,11 +46,8 @@ _SWEEP = "b as (select t, sum(tp) as tp, sum(fp) as fp from cases group by 1), s
 def held_state(spark, sf_dir):
     """The state after three rounds on the held-out lines."""
     texts = noisy(spark, sf_dir).select("seq_id", "correct", "corrupt")
-    model = TH.shares(TH.neighbourhoods(texts.where(TRAIN), ["seq_id"], F.col("correct")), "seq_id")
-    held = texts.where(f"not ({TRAIN})")
-    gaps = TH.checkpoint(TH.neighbourhoods(held, ["seq_id"], F.col("corrupt"), {"o": SP.gaps(F.col("correct"))}))
-    truth = gaps.where("o != gap").select("seq_id", "k", F.col("o").alias("insertion"))
-    return TH.state_of(held, TH.labelled(TH.predictions(gaps, model, "seq_id", 3), truth, "seq_id"), "seq_id")
+    model = TH.shares_around(texts.where(TRAIN), "correct")
+    return TH.state_in_chunks(texts.where(f"not ({TRAIN})"), model, "correct", "corrupt", "seq_id", 3)
 
 
 @query(f"with {_CASES}, {_SWEEP} select t, tp, fp, cast((select n from due) - tp as bigint) as fn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as precision, round(tp / (select n from due), 6) as recall, round(case when tp = 0 then 0 else 2.0 * tp / (tp + fp + (select n from due)) end, 6) as f1 from s")
