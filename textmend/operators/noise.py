@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from textmend.functions.rng import at_place, row_seed
 from textmend.functions.arrays import let
+from textmend.functions.batches import pieces, uniforms
+from textmend.functions.rng import at_place, row_seed
 
 #: What scanners mistake for what.
 OCR = [("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("h", "li"), ("e", "c"), ("c", "e"), ("i", "l"), ("l", "i"), ("o", "0"), ("s", "5"), ("b", "6")]
@@ -69,6 +75,48 @@ def ocr_errors(text: Column, row: Column, p: float, seed: int) -> Column:
     return per_token(text, row, seed, one)
 
 
+def misread(t: str, u: list[float]) -> str:
+    """``ocr_errors`` of a drawn token, u its draws from the second on."""
+    wrong, seen = OCR[int(u[0] * len(OCR))]
+    return t.replace(wrong, seen, 1)
+
+
+def mistyped(t: str, u: list[float]) -> str:
+    """``typos`` of a drawn token."""
+    said = t[:-2] if t.endswith("\r\n") else t[:-1] if t[-1:] in ("\n", "\r", "\x85", "\u2028", "\u2029") else t  # the pattern's $ stands before these
+    if len(t) < 2 or not said.isalpha():
+        return t
+    kind, at, letter = int(u[0] * 4), int(u[1] * (len(t) - 1)), LETTERS[int(u[2] * len(LETTERS))]
+    head, here, rest = t[:at], t[at], t[at + 1 :]
+    return head + (letter + here + rest, rest, letter + rest, rest[:1] + here + rest[1:])[kind]
+
+
+def respelled(texts: list[str], seeds: np.ndarray, p: float, one: Callable[[str, list[float]], str]) -> list[str]:
+    """The texts with one(token, draws) for the tokens that are drawn with p: the random numbers of all tokens are one array."""
+    tokens = [t.split(" ") for t in texts]
+    sizes = np.array([len(t) for t in tokens])
+    row = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    drawn = np.flatnonzero(uniforms(seeds[row], place * 8) < p)
+    row, place = row[drawn], place[drawn]
+    draws = np.stack([uniforms(seeds[row], place * 8 + k) for k in (1, 2, 3)], axis=1).tolist()
+    for r, i, u in zip(row.tolist(), place.tolist(), draws, strict=True):
+        tokens[r][i] = one(tokens[r][i], u)
+    return [" ".join(t) for t in tokens]
+
+
+def of_batches(text: Column, row: Column, p: float, seed: int, one: Callable[[str, list[float]], str]) -> Column:
+    """``ocr_errors`` (one: misread) or ``typos`` (mistyped) of whole batches. text: a column without lambdas in it, which
+    Spark would not tell apart."""
+
+    def run(text: pa.Array, seed: pa.Array) -> pa.Array:
+        texts, seeds = ["" if t is None else t for t in text.to_pylist()], seed.fill_null(0).to_numpy(zero_copy_only=False)
+        out = [t for a, b in pieces(texts) for t in respelled(texts[a:b], seeds[a:b], p, one)]
+        return pa.array(out, pa.string(), mask=text.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, StringType())(text, row_seed(seed, row))
+
+
 def characters(text: Column, row: Column, p: float, seed: int) -> Column:
     """Each character goes with p / 2, or gets a letter before it with p / 2."""
 

@@ -23,14 +23,13 @@ def query(f):
 
 def scanned(spark, sf_dir) -> DataFrame:
     """Lines and what a poor scan makes of them."""
-    return lines(spark, sf_dir).select("seq_id", "lang", F.col("text").alias("clean"), N.ocr_errors(F.col("text"), F.col("seq_id"), 0.1, 41).alias("raw"))
+    return lines(spark, sf_dir).select("seq_id", "lang", F.col("text").alias("clean"), N.of_batches(F.col("text"), F.col("seq_id"), 0.1, 41, N.misread).alias("raw"))
 
 
 def error_pairs(spark, sf_dir) -> DataFrame:
     """(seq_id, lang, wrong, right) of stretches of tokens that differ."""
     found = A.udf_of(lambda raw, clean: [{"wrong": x, "right": y} for x, y in A.ocr_errors(raw, clean)], _PAIRS)
-    changed = scanned(spark, sf_dir).where("raw <> clean")
-    return changed.select("seq_id", "lang", F.inline(found("raw", "clean")))
+    return scanned(spark, sf_dir).select("seq_id", "lang", F.inline(found("raw", "clean")))
 
 
 @query
@@ -67,7 +66,7 @@ def tolerant_evaluation(spark, sf_dir):
     """Scores of rules on lines with typing errors and space errors, the characters that misspelling put in left out of account."""
     from textmend.operators import rules as R
 
-    rows = lines(spark, sf_dir).select("seq_id", "lang", F.col("text").alias("original"), N.typos(F.col("text"), F.col("seq_id"), 0.1, 43).alias("correct"))
+    rows = lines(spark, sf_dir).select("seq_id", "lang", F.col("text").alias("original"), N.of_batches(F.col("text"), F.col("seq_id"), 0.1, 43, N.mistyped).alias("correct"))
     rows = rows.withColumn("corrupt", SP.corrupt(F.col("correct"), F.col("seq_id"), 0.03, 0.15, 44)).withColumn("predicted", R.character_rules(F.col("corrupt")))
     three = A.udf_of(lambda *t: A.tolerant(*t), "array<string>")
     rows = rows.select("seq_id", "lang", three("original", "correct", "corrupt", "predicted").alias("t"))
