@@ -3,11 +3,13 @@ the functions with brute force."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmend.functions import align as A
 from textmend.functions import spaces as SP
+from textmend.functions.batches import pieces
 from textmend.operators import evaluate as E
 from textmend.operators import noise as N
 from textmend.plans.corpus import lines
@@ -68,8 +70,16 @@ def tolerant_evaluation(spark, sf_dir):
 
     rows = lines(spark, sf_dir).select("seq_id", "lang", F.col("text").alias("original"), N.of_batches(F.col("text"), F.col("seq_id"), 0.1, 43, N.mistyped).alias("correct"))
     rows = rows.withColumn("corrupt", SP.corrupt(F.col("correct"), F.col("seq_id"), 0.03, 0.15, 44)).withColumn("predicted", R.character_rules(F.col("corrupt")))
-    three = A.udf_of(lambda *t: A.tolerant(*t), "array<string>")
-    rows = rows.select("seq_id", "lang", three("original", "correct", "corrupt", "predicted").alias("t"))
-    rows = rows.select("seq_id", "lang", *[F.get("t", F.lit(k)).alias(n) for k, n in enumerate(("correct", "corrupt", "predicted"))])
+    names = ("correct", "corrupt", "predicted")
+
+    def run(*columns: pa.Array) -> pa.Array:
+        texts, made = [c.to_pylist() for c in columns], [[] for _ in names]
+        for a, b in pieces(texts[0]):
+            for part, done in zip(A.tolerants(*[t[a:b] for t in texts]), made, strict=True):
+                done += part
+        return pa.StructArray.from_arrays([pa.array(m, pa.string()) for m in made], names=list(names))
+
+    three = F.arrow_udf(run, ", ".join(f"{n} string" for n in names))
+    rows = rows.select("seq_id", "lang", three("original", *names).alias("t")).select("seq_id", "lang", "t.*")  # lines have no null texts
     out = E.summary(E.error_counts(rows, ["seq_id", "lang"]), ["lang"])
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
