@@ -10,6 +10,7 @@ from textmend.functions import text as T
 from textmend.operators import evaluate as E
 from textmend.operators import language_model as LM
 from textmend.operators import stats as S
+from textmend.operators.lineage import checkpoint
 from textmend.plans.corpus import ITEM_LINES, LINES, documents, item_lines, lines
 from textmend.plans.repair import APPROACHES, BASE, GAPS, LABELED, NOISE, PRED, SCORES, approaches, counts, labelled, noisy, rounded
 from textmend.plans.search import GRAMS
@@ -138,8 +139,7 @@ FIVE = "g5 as (select lang, substr(t, i, 5) as gram, count(*) as cnt from (selec
  select lang, cast(sum(cnt) as bigint) as n, round(-sum(cnt * log2(f)) / sum(cnt), 4) as forward, round(-sum(cnt * log2(b)) / sum(cnt), 4) as backward, round(-sum(cnt * log2(f * b)) / sum(cnt), 4) as both, round(-sum(cnt * log2(f + b - f * b)) / sum(cnt), 4) as either, round(-sum(cnt * log2((f + b) / 2)) / sum(cnt), 4) as mean from p group by 1""")
 def combined_models(spark, sf_dir):
     """Bits a character of a model of what stands before, one of what stands behind, and of both combined."""
-    by_lang = LM.centred_grams(lines(spark, sf_dir), ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("cnt"))
-    p = LM.two_sided(by_lang)
+    p = LM.two_sided(checkpoint(LM.gram_counts(lines(spark, sf_dir), "lang")))
     bits = lambda c, name: F.round(-F.sum(F.col("cnt") * F.log2(c)) / F.sum("cnt"), 4).alias(name)
     return p.groupBy("lang").agg(F.sum("cnt").alias("n"), bits(F.col("forward"), "forward"), bits(F.col("backward"), "backward"), *[bits(c, n) for n, c in LM.combinations(F.col("forward"), F.col("backward")).items()])
 
