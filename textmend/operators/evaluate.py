@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,6 +129,29 @@ def without_inverses(predictions: DataFrame, key: str) -> DataFrame:
     return predictions.withColumns({"_lo": F.min("type").over(w), "_hi": F.max("type").over(w)}).where(F.col("_lo") == F.col("_hi")).drop("_lo", "_hi")
 
 
+def uncancelled(rows: DataFrame, key: str, true: str = "correct", corrupt: str = "corrupt", predicted: str = "predicted") -> DataFrame:
+    """(key, position, type): by gap, the changes from the true to the corrupt text and from there to the predicted one, without those
+    whose inverse stands in the same gap. All changes of a gap are in one row, so nothing is shuffled."""
+    kept = rows.select(key, true, corrupt, predicted).dropna(subset=[true, corrupt, predicted])
+    kinds = pa.array(["DELETION", "INSERTION"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            three = [c.to_pylist() for c in part.columns[1:]]
+            for a, b in batches.pieces(three[0]):
+                (o, ends), (c, same), (p, also) = [batches.gaps_of(t[a:b]) for t in three]
+                if not (np.array_equal(ends, same) and np.array_equal(ends, also)):
+                    raise ValueError("texts to compare differ in more than spaces")
+                first, second = p != c, o != c  # what repair and what noise changed; more spaces than before are a DELETION
+                cancelled = first & second & ((p > c) != (c > o))
+                at, more = [np.concatenate(x) for x in zip(*[(k, m[k]) for k, m in ((np.flatnonzero(f & ~cancelled), m) for f, m in ((first, p > c), (second, c > o)))], strict=True)]
+                row = np.searchsorted(ends, at, side="right")
+                position = at - np.concatenate(([0], ends))[row]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(a + row)), pa.array(position, pa.int32()), kinds.take(pa.array(np.where(more, 0, 1)))], names=[key, "position", "type"])
+
+    return kept.mapInArrow(run, f"{key} {dict(kept.dtypes)[key]}, position int, type string")
+
+
 def benchmark_name(noise: Column, p: Column) -> Column:
     """Name of a benchmark: noise and share of errors with one decimal, 0 for no noise, 1 and inf as such."""
     share = F.when(p == float("inf"), "inf").when(p == 1, "1").otherwise(F.format_string("%.1f", p))

@@ -48,10 +48,5 @@ _KINDS = "case when {0} > {1} then 'DELETION' else 'INSERTION' end"
  select seq_id, cast(position as int) as position, type, case type when 'DELETION' then 'INSERTION' else 'DELETION' end as inverse from made qualify min(type) over (partition by seq_id, position) = max(type) over (partition by seq_id, position)""")
 def uncancelled_changes(spark, sf_dir):
     """Changes that noise and then rules made, by gap, without those that took each other back."""
-    kind = lambda more, less: F.when(more > less, "DELETION").otherwise("INSERTION")
-    rows = noisy(spark, sf_dir)
-    zipped = F.arrays_zip(SP.gaps(F.col("correct")).alias("o"), SP.gaps(F.col("corrupt")).alias("c"), SP.gaps(F.col("predicted")).alias("p"))
-    k = rows.select("seq_id", F.posexplode(zipped).alias("position", "g")).select("seq_id", "position", "g.*").where("o != c or c != p")
-    both = F.filter(F.array(F.when(F.col("p") != F.col("c"), kind(F.col("p"), F.col("c"))), F.when(F.col("o") != F.col("c"), kind(F.col("c"), F.col("o")))), lambda x: x.isNotNull())
-    made = k.select("seq_id", "position", F.explode(both).alias("type"))
-    return E.without_inverses(made, "seq_id").withColumn("inverse", SP.inverted(F.col("type")))
+    rows = noisy(spark, sf_dir).select("seq_id", "correct", "corrupt", "predicted")
+    return E.uncancelled(rows, "seq_id").withColumn("inverse", SP.inverted(F.col("type")))
