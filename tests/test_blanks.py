@@ -69,3 +69,19 @@ def test_best_pair_is_the_best_of_all(spark):
         assert math.isclose(r.f1, best[0]) and r.fn == due - r.tp
     empty = B.best_pair(spark.createDataFrame([], "near string, o boolean, c boolean, cnt long"), spark.createDataFrame(scores, "near string, ahead int, score double"))
     assert empty.count() == 0
+
+
+def test_changes_by_line_equal_those_of_places(spark, monkeypatch):
+    """The surroundings of a chunk's places are asked for once each."""
+    monkeypatch.setattr(B, "CHUNK", 40)
+    texts = ["", " ", "ab a  b", "the cat sat", "thecat s at", "𝒳 é𝒳é", None, *["ab ba a b" * k for k in range(1, 5)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq_id long, text string")
+    counted = B.triples(spark.createDataFrame([("the cat sat ab ba",), ("a b ab",)], "text string")).localCheckpoint()
+    want: dict = {}
+    for r in B.likely_changes(rows, "seq_id", counted).collect():
+        want.setdefault(r.seq_id, []).extend([(r.k, r.blank)] if r.p >= 0.6 else [])
+    got = {r.seq_id: r for r in B.changes_by_line(rows, "seq_id", counted, 0.6).collect()}
+    assert set(got) == set(want)
+    for key, made in want.items():
+        assert got[key].changes == ",".join(f"{k}{'-' if b else '+'}" for k, b in sorted(made))
+        assert (got[key].n_insert, got[key].n_delete) == (sum(not b for _, b in made), sum(b for _, b in made))

@@ -3,15 +3,22 @@ are distinct surroundings of a place; positions are counted before they meet a m
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from textmend.functions import spaces as SP
+from textmend.functions.batches import SPACE, codes_of
 from textmend.operators.language_model import END, START, likelihoods
 from textmend.operators.lineage import checkpoint
+from textmend.operators.lookup import dealt
 
 #: Thresholds are tenths of a natural logarithm from 0 to MOST - 1 (all above are one); MOST stands for no change at all.
 AHEAD, MOST = 3, 201
+#: Characters of a chunk.
+CHUNK = 1 << 20
 
 
 def triples(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -57,6 +64,57 @@ def likely_changes(rows: DataFrame, key: str, counted: DataFrame, method: str =
     return at.join(scored, "near").select(key, "k", "blank", F.when(F.col("blank"), 1 - F.col("p")).otherwise(F.col("p")).alias("p"))
 
 
+def near_numbers(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``places`` of texts in arrays: the padded texts' characters; the text, k, blank of each place; the number of its surroundings; a place of each number."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)  # places where a blank can come
+    flat = "".join([START * 2 + t + END * 3 for t in texts])
+    codes = codes_of(flat).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(len(text)) + 4 * text
+    there = np.flatnonzero(codes[at + 2] == SPACE)
+    order = np.argsort(np.concatenate((2 * np.arange(len(at)), 2 * there + 1)), kind="stable")
+    blank = order >= len(at)
+    of = np.concatenate((np.arange(len(at)), there))[order]
+    at, behind = at[of], at[of] + 2 + blank
+    halves = [np.unique(codes[x] * 0x110000 + codes[x + 1], return_inverse=True)[1] for x in (at, behind)]
+    _, first, number = np.unique(halves[0] * (int(halves[1].max(initial=0)) + 1) + halves[1], return_index=True, return_inverse=True)
+    return flat, text[of], k[of], blank, number, np.stack((at[first], behind[first]), axis=1)
+
+
+def changes_by_line(rows: DataFrame, key: str, counted: DataFrame, least: float, method: str = "multiply_compared", text: str = "text", characters: int | None = None) -> DataFrame:
+    """(key, n_insert, n_delete, changes): how many of ``likely_changes`` of each text have p >= least, and which, as "k+" and "k-" in order. Texts are
+    dealt out to chunks, whose distinct surroundings meet the model and come back where they count; no place is shuffled. characters: about how many there are, where that is known."""
+    texts = rows.select(key, F.col(text).alias("_text")).where("_text is not null")
+    characters = texts.agg(F.sum(F.length("_text"))).first()[0] if characters is None else characters
+    chunks = dealt(texts, key, characters or 0, CHUNK)
+
+    def surroundings(mine: pa.Table):
+        flat, *parts, firsts = near_numbers(mine.column("_text").to_pylist())
+        return [flat[a : a + 2] + flat[b : b + 2] for a, b in firsts.tolist()], *parts
+
+    def asked(mine: pa.Table) -> pa.Table:
+        near = surroundings(mine)[0]
+        return pa.table([pa.array([mine.column("chunk")[0].as_py()] * len(near), pa.int64()), pa.array(near, pa.string())], names=["chunk", "near"])
+
+    def run(mine: pa.Table, found: pa.Table) -> pa.Table:
+        near, line, k, blank, number = surroundings(mine)
+        comes, goes = ({n for n, is_likely in zip(found.column("near").to_pylist(), found.column(c).to_pylist(), strict=True) if is_likely} for c in ("comes", "goes"))
+        likely = np.array([[n in comes, n in goes] for n in near], np.bool_).reshape(-1, 2)
+        made = np.flatnonzero(likely[number, blank.astype(np.int64)])
+        line, blank = line[made], blank[made]
+        n, n_delete = (np.bincount(x, minlength=mine.num_rows) for x in (line, line[blank]))
+        said = [f"{a}-" if b else f"{a}+" for a, b in zip(k[made].tolist(), blank.tolist(), strict=True)]
+        ends = np.cumsum(n).tolist()
+        return pa.table([mine.column(key), pa.array(n - n_delete, pa.int64()), pa.array(n_delete, pa.int64()), pa.array([",".join(said[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.string())], names=[key, "n_insert", "n_delete", "changes"])
+
+    wanted = checkpoint(chunks.select("chunk", "_text").groupBy("chunk").applyInArrow(lambda mine: asked(mine), "chunk bigint, near string"))
+    scored = blank_probabilities(wanted, counted).select("near", (F.col(method) >= least).alias("comes"), (1 - F.col(method) >= least).alias("goes")).where("comes or goes")
+    kept = [f for f in texts.schema.fields if f.name == key]
+    fields = [*kept, StructField("n_insert", LongType()), StructField("n_delete", LongType()), StructField("changes", StringType())]
+    return chunks.groupBy("chunk").cogroup(wanted.join(scored, "near").groupBy("chunk")).applyInArrow(lambda mine, found: run(mine, found), StructType(fields))
+
+
 def ahead_cases(rows: DataFrame, true: str, corrupt: str) -> DataFrame:
     """(near, o, c, cnt): how many gaps between characters have three characters before and three behind them (in the true text
     with runs of spaces as one), a space in the true text (o) and in the corrupt one (c)."""

@@ -34,10 +34,10 @@ TOGETHER = 1 << 19
 MANY, CHUNKS = 1 << 22, 64
 
 
-def dealt(rows: DataFrame, key: str, characters: int) -> DataFrame:
-    """rows with the ``chunk`` that each is to meet its counts in, by a hash of the key; not yet brought together. characters: of all texts. The
-    larger a chunk is, the fewer of its keys are asked for elsewhere too."""
-    n = max(characters // MANY, min(characters // CHARACTERS, CHUNKS)) + 1
+def dealt(rows: DataFrame, key: str, characters: int, size: int | None = None) -> DataFrame:
+    """rows with the ``chunk`` that each is to meet its counts in, by a hash of the key; not yet brought together. characters: of all texts; size: of a
+    chunk. The larger a chunk is, the fewer of its keys are asked for elsewhere too."""
+    n = (characters // size if size else max(characters // MANY, min(characters // CHARACTERS, CHUNKS))) + 1
     return rows.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(n)))
 
 
@@ -256,10 +256,10 @@ class SnippetFilter(SpanFilter):
         return table.mapInArrow(run, "h bigint")
 
 
-def mostly(table: DataFrame, n: int | None = None) -> Broadcast:
-    """The n most frequent keys with their counts: every chunk has them, and asks for others only."""
-    kept = table.orderBy(F.desc("cnt"), "key").limit(COMMON if n is None else n).select("key", "cnt").toArrow()
-    return table.sparkSession.sparkContext.broadcast(counts_of(kept))
+def mostly(table: DataFrame, n: int | None = None, value: str = "cnt") -> Broadcast:
+    """The n most frequent keys with their counts, or another value: every chunk has them, and asks for others only."""
+    kept = table.orderBy(F.desc("cnt"), "key").limit(COMMON if n is None else n).select("key", value).toArrow()
+    return table.sparkSession.sparkContext.broadcast(dict(zip(*[c.to_pylist() for c in kept.columns], strict=True)))
 
 
 def found_spans(rows: DataFrame, text: str, table: DataFrame, longest: int | None = None, common: Broadcast | None = None) -> DataFrame:

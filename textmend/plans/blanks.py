@@ -50,11 +50,10 @@ def blank_probabilities(spark, sf_dir):
 def blank_changes(spark, sf_dir):
     """By held-out corrupt line: places where a blank likely comes or goes."""
     held = noisy(spark, sf_dir).where(f"not ({TRAIN})").select("seq_id", F.col("corrupt").alias("text"))
-    every = B.likely_changes(held, "seq_id", B.triples(lines(spark, sf_dir).where(TRAIN)))
-    likely = F.col("p") >= 0.9
-    listed = F.array_sort(F.collect_list(F.when(likely, F.struct("k", "blank"))))  # a line's changes
-    said = F.array_join(F.transform(listed, lambda x: F.concat(x["k"].cast("string"), F.when(x["blank"], "-").otherwise("+"))), ",")
-    return every.groupBy("seq_id").agg(F.count_if(likely & ~F.col("blank")).alias("n_insert"), F.count_if(likely & F.col("blank")).alias("n_delete"), F.md5(said).alias("changes_md5"))
+    size = lines(spark, sf_dir).where(f"not ({TRAIN})").agg(F.sum(F.length("text"))).first()[0] or 0  # noise hardly changes it
+    every = B.changes_by_line(held, "seq_id", B.triples(lines(spark, sf_dir).where(TRAIN)), 0.9, characters=size)
+    return every.select("seq_id", "n_insert", "n_delete", F.md5("changes").alias("changes_md5"))
+
 
 
 _LEVELS = ", ".join([f"k{n} as (select substr(gram, 2) as gram, sum(cnt) as cnt from k{n + 1} group by 1)" for n in (3, 2, 1)] + [f"y{n} as (select substr(gram, 1, {n - 1}) as gram, sum(cnt) as n from k{n} group by 1)" for n in (2, 3, 4)])
