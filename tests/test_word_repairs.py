@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmend.functions import batches
 from textmend.functions import text as T
-from textmend.operators import rules, search, stats
+from textmend.operators import lookup, rules, search, stats
 from textmend.plans import search as plans
 
 ODD = ["", " ", "a\tb  c", "\t\tx\r\ny z", "½ 3²b_c ñandú 𝒳𝒴 1٣", "don't (a) [b] c", " é é"]
@@ -47,3 +47,11 @@ def test_pairs_that_no_repair_asks_for_are_not_counted(spark):
     asked = spark.createDataFrame([("the catthe re",)], "corrupt string")
     u = stats.token_counts(rows)
     assert {r.key for r in stats.pair_counts(rows, plans.made_up(asked, "corrupt", u, 3, 4)).collect()} == {"cat the"}
+
+
+def test_chunks_of_few_bytes_stay_apart(spark):
+    """What is done with a chunk takes long, so that small ones are not put into one task."""
+    rows = lookup.dealt(spark.range(400).select("id", F.lit("a b").alias("text")), "id", 40 * lookup.CHARACTERS)
+    spoken = lookup.repaired(rows, "text", spark.createDataFrame([], "chunk long, key string, cnt long"), lambda known: lookup.each(str.upper))
+    assert spoken.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert spoken.where("predicted = 'A B'").count() == 400
